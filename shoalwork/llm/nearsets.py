@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from shoalwork.llm.hashing import ODD, mix, shingle_sets
 from shoalwork.plans.cut import cut
 
-BAND, SEGMENTS, GROWTH = 192, 256, 4  # the first band holds sets of up to BAND runs in SEGMENTS segments; each further band GROWTH times as many
+BAND, SEGMENTS, GROWTH = 384, 512, 4  # the first band holds sets of up to BAND runs in SEGMENTS segments; each further band GROWTH times as many
 NEED = 4  # segments that a pair must share before it is verified
 SKETCH_BITS = 21  # counters of the cost sketch, whatever the corpus
 
@@ -69,7 +69,7 @@ def _sets(batch: pa.RecordBatch, words: int, least: int):
 
 def _survey(words: int, least: int, t: float, segments: int):
     """Of each row its key, the hash and the size of its set; at the end of each task its part of the sketch."""
-    names = ["k", "set_hi", "set_lo", "size", "sketch"]
+    names = ["k", "set_hi", "set_lo", "size", "short", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -77,13 +77,16 @@ def _survey(words: int, least: int, t: float, segments: int):
             row, value, sizes = _sets(batch, words, least)
             if not len(row):
                 continue
-            for _, _, signature, _, _ in _segment(row, value, sizes, t, segments):
+            short = np.zeros(batch.num_rows, bool)
+            for r, _, signature, _, _ in _segment(row, value, sizes, t, segments):
                 counts += np.bincount((signature >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                filled = np.bincount(r, minlength=batch.num_rows)
+                short |= (filled > 0) & (filled <= bound(sizes, t))
             start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             sums = [np.add.reduceat(mix(value ^ odd), start).view(np.int64) for odd in (ODD[0], ODD[1])]
             at = row[start]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sizes[at].astype(np.int32)), pa.nulls(len(at), pa.binary())], names=names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([zlib.compress(np.minimum(counts, 2**31 - 1).astype(np.int32).tobytes(), 1)], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sizes[at].astype(np.int32)), pa.array(short[at]), pa.nulls(len(at), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.bool_()), pa.array([zlib.compress(np.minimum(counts, 2**31 - 1).astype(np.int32).tobytes(), 1)], pa.binary())], names=names)
 
     return run
 
@@ -97,7 +100,7 @@ def _add_sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _index(words: int, least: int, t: float, segments: int, sketch, need: int):
-    """(signature, key, tag) of the allocated segments; tag = size * 64 + needed matches. A set that is short of segments comes once with signature 0."""
+    """(signature, key, tag) of the allocated segments; tag = size * 64 + needed matches. Sets that are short of segments are left to the deletions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost_of = np.frombuffer(zlib.decompress(sketch.value), np.int32)
@@ -116,8 +119,7 @@ def _index(words: int, least: int, t: float, segments: int, sketch, need: int):
                 needed = np.repeat(np.clip(spare, 0, need), filled)
                 tag = sizes[r] * 64 + needed
                 short = needed == 0
-                use = np.where(short, rank == 0, rank < bound(sizes[r], t) + needed)
-                signature = np.where(short, np.uint64(0), signature)
+                use = ~short & (rank < bound(sizes[r], t) + needed)
                 yield pa.RecordBatch.from_arrays([pa.array(signature[use].view(np.int64)), batch.column(0).take(pa.array(r[use])), pa.array(tag[use].astype(np.int32))], names=["s", "k", "tag"])
 
     return run
@@ -174,26 +176,26 @@ def similar_pairs(texts: DataFrame, key: str, text: str, threshold: float = 0.7,
     """
     spark = texts.sparkSession
     docs = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
-    surveyed = cut(docs.mapInArrow(_survey(words, least, threshold, segments), "k bigint, set_hi bigint, set_lo bigint, size int, sketch binary"))
+    surveyed = cut(docs.mapInArrow(_survey(words, least, threshold, segments), "k bigint, set_hi bigint, set_lo bigint, size int, short boolean, sketch binary"))
     parts = surveyed.where("sketch is not null").select("sketch")
     merged = parts.mapInPandas(_add_sketches, "sketch binary").coalesce(1).mapInPandas(_add_sketches, "sketch binary").first()
     sketch = spark.sparkContext.broadcast(merged["sketch"] if merged else zlib.compress(np.zeros(1 << SKETCH_BITS, np.int32).tobytes()))  # of fixed size
-    sets = surveyed.where("sketch is null").select("k", "set_hi", "set_lo", "size")
+    sets = surveyed.where("sketch is null").drop("sketch")
     reps = sets.groupBy("set_hi", "set_lo", "size").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n"))
     copies = cut(sets.join(reps.where("n > 1"), ["set_hi", "set_lo", "size"]).where("k <> rep").select("k", "rep"))
     members = sets.select("k").join(copies, "k", "left").select("k", F.coalesce("rep", "k").alias("rep"))
     distinct = _chosen(docs, copies.select("k"), "left_anti")
 
-    index = cut(distinct.mapInArrow(_index(words, least, threshold, segments, sketch, need), "s bigint, k bigint, tag int"))
+    index = distinct.mapInArrow(_index(words, least, threshold, segments, sketch, need), "s bigint, k bigint, tag int")
     size = lambda c: F.shiftright(c, 6)
-    a, b = (index.where("s <> 0").select("s", F.col("k").alias(x), F.col("tag").alias(f"t{x}")) for x in "ab")
+    a, b = (index.select("s", F.col("k").alias(x), F.col("tag").alias(f"t{x}")) for x in "ab")
     fits = (F.least(size("ta"), size("tb")) >= F.greatest(size("ta"), size("tb")) * threshold - 1e-9) & (F.col("a") < F.col("b"))
     met = a.join(b, "s").where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("ta").alias("ta"), F.first("tb").alias("tb"))
     candidates = met.where(F.col("n") >= F.least(F.col("ta").bitwiseAND(63), F.col("tb").bitwiseAND(63))).select("a", "b")
-    short = index.where("s = 0").select("k", "tag").distinct()
+    short = sets.where("short").select("k")
     if short.limit(1).count():
         every = distinct.mapInArrow(_deletions(words, least, threshold, segments), "s bigint, k bigint, tag int, kind int")
-        mine = every.join(short.select("k"), "k", "left_semi").select("s", F.col("k").alias("a"), F.col("tag").alias("ta"), F.col("kind").alias("x"))
+        mine = every.join(short, "k", "left_semi").select("s", F.col("k").alias("a"), F.col("tag").alias("ta"), F.col("kind").alias("x"))
         theirs = every.select("s", F.col("k").alias("b"), F.col("tag").alias("tb"), F.col("kind").alias("y"))
         ratio = F.least(size("ta"), size("tb")) >= F.greatest(size("ta"), size("tb")) * threshold - 1e-9
         more = mine.join(theirs, "s").where(ratio & (F.col("a") != F.col("b")) & (F.col("x") + F.col("y") < 2))
