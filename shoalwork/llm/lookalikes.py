@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoalwork.plans.cut import cut
+
 # Greek and Cyrillic letters that are drawn like a Latin letter.
 LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
@@ -102,7 +104,7 @@ def lookalike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     kind = dict(docs.dtypes)[key]
     select = f"WITH f AS (SELECT k, text, {form_sql()} AS form FROM batch) SELECT k, md5(form) AS f, md5(text) AS t FROM f WHERE regexp_matches(form, '[^\\s\\x{{200D}}]')"
     source = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"))
-    keyed = source.mapInArrow(_in_duckdb(select), f"k {kind}, f string, t string").distinct()
+    keyed = cut(source.mapInArrow(_in_duckdb(select), f"k {kind}, f string, t string").distinct())  # the forms are made once
     texts = keyed.select("f", "t").distinct()
     several = texts.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f")
     texts = texts.join(several, "f", "left_semi")
