@@ -25,7 +25,7 @@ from shoalwork.plans.cut import cut
 
 BAND, SEGMENTS, GROWTH = 384, 512, 4  # the first band holds sets of up to BAND runs in SEGMENTS segments; each further band GROWTH times as many
 NEED = 4  # segments that a pair must share before it is verified
-SKETCH_BITS = 21  # counters of the cost sketch, whatever the corpus
+SKETCH_BITS = 23  # counters of the cost sketch, whatever the corpus
 
 
 def band_of(sizes: np.ndarray) -> np.ndarray:
@@ -72,38 +72,39 @@ def _survey(words: int, least: int, t: float, segments: int):
     names = ["k", "set_hi", "set_lo", "size", "short", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint16)
         for batch in batches:
             row, value, sizes = _sets(batch, words, least)
             if not len(row):
                 continue
             short = np.zeros(batch.num_rows, bool)
             for r, _, signature, _, _ in _segment(row, value, sizes, t, segments):
-                counts += np.bincount((signature >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                slot, times = np.unique(signature >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+                counts[slot] = np.minimum(counts[slot] + times, 65_535)
                 filled = np.bincount(r, minlength=batch.num_rows)
                 short |= (filled > 0) & (filled <= bound(sizes, t))
             start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             sums = [np.add.reduceat(mix(value ^ odd), start).view(np.int64) for odd in (ODD[0], ODD[1])]
             at = row[start]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sizes[at].astype(np.int32)), pa.array(short[at]), pa.nulls(len(at), pa.binary())], names=names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.bool_()), pa.array([zlib.compress(np.minimum(counts, 2**31 - 1).astype(np.int32).tobytes(), 1)], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.bool_()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=names)
 
     return run
 
 
 def _add_sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    total = np.zeros(1 << SKETCH_BITS, np.uint32)
     for batch in batches:
         for part in batch["sketch"]:
-            total += np.frombuffer(zlib.decompress(part), np.int32)
-    yield pd.DataFrame({"sketch": [zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)]})
+            total = np.minimum(total + np.frombuffer(zlib.decompress(part), np.uint16), 65_535)
+    yield pd.DataFrame({"sketch": [zlib.compress(total.astype(np.uint16).tobytes(), 1)]})
 
 
 def _index(words: int, least: int, t: float, segments: int, sketch, need: int):
-    """(signature, key, tag) of the allocated segments; tag = size * 64 + needed matches. Sets that are short of segments are left to the deletions."""
+    """(signature, key, tag) of the allocated segments; tag = (size * 64 + needed matches) * 65536 + rank by cost. Sets that are short of segments are left to the deletions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost_of = np.frombuffer(zlib.decompress(sketch.value), np.int32)
+        cost_of = np.frombuffer(zlib.decompress(sketch.value), np.uint16)
         for batch in batches:
             row, value, sizes = _sets(batch, words, least)
             if not len(row):
@@ -117,10 +118,10 @@ def _index(words: int, least: int, t: float, segments: int, sketch, need: int):
                 rank = np.arange(len(r)) - np.repeat(start, filled)
                 spare = filled - bound(sizes[r[start]], t)
                 needed = np.repeat(np.clip(spare, 0, need), filled)
-                tag = sizes[r] * 64 + needed
+                tag = (sizes[r] * 64 + needed) * 65_536 + np.minimum(rank, 65_535)
                 short = needed == 0
                 use = ~short & (rank < bound(sizes[r], t) + needed)
-                yield pa.RecordBatch.from_arrays([pa.array(signature[use].view(np.int64)), batch.column(0).take(pa.array(r[use])), pa.array(tag[use].astype(np.int32))], names=["s", "k", "tag"])
+                yield pa.RecordBatch.from_arrays([pa.array(signature[use].view(np.int64)), batch.column(0).take(pa.array(r[use])), pa.array(tag[use].astype(np.int64))], names=["s", "k", "tag"])
 
     return run
 
@@ -145,7 +146,7 @@ def _deletions(words: int, least: int, t: float, segments: int):
                 filled = pd.MultiIndex.from_arrays([r0, place])
                 is_empty = ~pd.MultiIndex.from_arrays([every, number * ODD[0] + np.repeat(b0[first], m).astype(np.uint64) * ODD[4]]).isin(filled)
                 for rr, ss, kind in ((r0, signature, 0), (every[is_empty], empty[is_empty], 0), (r, less, 1)):
-                    yield pa.RecordBatch.from_arrays([pa.array(ss.view(np.int64)), batch.column(0).take(pa.array(rr)), pa.array((sizes[rr] * 64).astype(np.int32)), pa.array(np.full(len(rr), kind, np.int32))], names=["s", "k", "tag", "kind"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ss.view(np.int64)), batch.column(0).take(pa.array(rr)), pa.array((sizes[rr] << 22).astype(np.int64)), pa.array(np.full(len(rr), kind, np.int32))], names=["s", "k", "tag", "kind"])
 
     return run
 
@@ -179,22 +180,27 @@ def similar_pairs(texts: DataFrame, key: str, text: str, threshold: float = 0.7,
     surveyed = cut(docs.mapInArrow(_survey(words, least, threshold, segments), "k bigint, set_hi bigint, set_lo bigint, size int, short boolean, sketch binary"))
     parts = surveyed.where("sketch is not null").select("sketch")
     merged = parts.mapInPandas(_add_sketches, "sketch binary").coalesce(1).mapInPandas(_add_sketches, "sketch binary").first()
-    sketch = spark.sparkContext.broadcast(merged["sketch"] if merged else zlib.compress(np.zeros(1 << SKETCH_BITS, np.int32).tobytes()))  # of fixed size
+    sketch = spark.sparkContext.broadcast(merged["sketch"] if merged else zlib.compress(np.zeros(1 << SKETCH_BITS, np.uint16).tobytes()))  # of fixed size
     sets = surveyed.where("sketch is null").drop("sketch")
     reps = sets.groupBy("set_hi", "set_lo", "size").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n"))
     copies = cut(sets.join(reps.where("n > 1"), ["set_hi", "set_lo", "size"]).where("k <> rep").select("k", "rep"))
     members = sets.select("k").join(copies, "k", "left").select("k", F.coalesce("rep", "k").alias("rep"))
     distinct = _chosen(docs, copies.select("k"), "left_anti")
 
-    index = distinct.mapInArrow(_index(words, least, threshold, segments, sketch, need), "s bigint, k bigint, tag int")
-    size = lambda c: F.shiftright(c, 6)
+    index = distinct.mapInArrow(_index(words, least, threshold, segments, sketch, need), "s bigint, k bigint, tag bigint")
+    size = lambda c: F.shiftright(c, 22)
+    wanted = lambda c: F.shiftright(c, 16).bitwiseAND(63)
+    rank = lambda c: F.col(c).bitwiseAND(65_535)
     a, b = (index.select("s", F.col("k").alias(x), F.col("tag").alias(f"t{x}")) for x in "ab")
     fits = (F.least(size("ta"), size("tb")) >= F.greatest(size("ta"), size("tb")) * threshold - 1e-9) & (F.col("a") < F.col("b"))
+    # the first `need` common segments lie within the first H + need of either set, H being that of the two sizes
+    reach = F.floor((size("ta") + size("tb")) * ((1 - threshold) / (1 + threshold)) + 1e-9) + F.least(wanted("ta"), wanted("tb"))
+    fits = fits & (F.greatest(rank("ta"), rank("tb")) < reach)
     met = a.join(b, "s").where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("ta").alias("ta"), F.first("tb").alias("tb"))
-    candidates = met.where(F.col("n") >= F.least(F.col("ta").bitwiseAND(63), F.col("tb").bitwiseAND(63))).select("a", "b")
+    candidates = met.where(F.col("n") >= F.least(wanted("ta"), wanted("tb"))).select("a", "b")
     short = sets.where("short").select("k")
     if short.limit(1).count():
-        every = distinct.mapInArrow(_deletions(words, least, threshold, segments), "s bigint, k bigint, tag int, kind int")
+        every = distinct.mapInArrow(_deletions(words, least, threshold, segments), "s bigint, k bigint, tag bigint, kind int")
         mine = every.join(short, "k", "left_semi").select("s", F.col("k").alias("a"), F.col("tag").alias("ta"), F.col("kind").alias("x"))
         theirs = every.select("s", F.col("k").alias("b"), F.col("tag").alias("tb"), F.col("kind").alias("y"))
         ratio = F.least(size("ta"), size("tb")) >= F.greatest(size("ta"), size("tb")) * threshold - 1e-9
