@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from shoalwork.llm.containers import fill_containers
 from shoalwork.llm.lookalikes import lookalike_pairs, visible_forms
+from shoalwork.llm.mojibake import garbled_fields
 from shoalwork.llm.nearsets import all_pairs, similar_pairs
 from shoalwork.llm.tokens import encode_corpus
 from shoalwork.plans.cut import cut
 from shoalwork.sources.tables import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled_fields(table(spark, folder, "trec07_misp"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     mails = table(spark, folder, "trec07_misp").where("body is not null").select("email_index", F.concat(F.coalesce("subject", F.lit("")), F.lit("\n"), "body").alias("text"))
     return all_pairs(*similar_pairs(mails, "email_index", "text"), "email_index")
@@ -40,7 +45,7 @@ def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_found, p7_ids, p8_containers, p9_found, p9_forms)}
+    return {f.__name__: f for f in (p2_found, p6_found, p7_ids, p8_containers, p9_found, p9_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
