@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalwork.llm.containers import fill_containers
+from shoalwork.llm.inherited import inherited_lines
 from shoalwork.llm.lookalikes import lookalike_pairs, visible_forms
 from shoalwork.llm.mojibake import garbled_fields
 from shoalwork.llm.nearsets import all_pairs, similar_pairs
@@ -16,6 +17,10 @@ from shoalwork.plans.cut import cut
 from shoalwork.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return inherited_lines(table(spark, folder, "trec07_misp"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return garbled_fields(table(spark, folder, "trec07_misp"))
 
@@ -45,7 +50,7 @@ def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p6_found, p7_ids, p8_containers, p9_found, p9_forms)}
+    return {f.__name__: f for f in (p1_found, p2_found, p6_found, p7_ids, p8_containers, p9_found, p9_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
