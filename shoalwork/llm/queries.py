@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shoalwork.llm.containers import fill_containers
 from shoalwork.llm.inherited import inherited_lines
 from shoalwork.llm.lookalikes import lookalike_pairs, visible_forms
+from shoalwork.llm.mailings import cluster_mails, described, neighbours
 from shoalwork.llm.mojibake import garbled_fields
 from shoalwork.llm.nearsets import all_pairs, similar_pairs
 from shoalwork.llm.tokens import encode_corpus
@@ -25,6 +26,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return garbled_fields(table(spark, folder, "trec07_misp"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours(cluster_mails(table(spark, folder, "trec07_misp")))
+
+
+def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return described(cut(cluster_mails(table(spark, folder, "trec07_misp"))))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     mails = table(spark, folder, "trec07_misp").where("body is not null").select("email_index", F.concat(F.coalesce("subject", F.lit("")), F.lit("\n"), "body").alias("text"))
     return all_pairs(*similar_pairs(mails, "email_index", "text"), "email_index")
@@ -50,7 +59,7 @@ def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p6_found, p7_ids, p8_containers, p9_found, p9_forms)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_clusters, p6_found, p7_ids, p8_containers, p9_found, p9_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
