@@ -151,12 +151,14 @@ def _deletions(words: int, least: int, t: float, segments: int):
     return run
 
 
-def _set_arrays(words: int, least: int):
+def _set_arrays(words: int, least: int, wide: bool):
+    """The set of each row: its hashes, or the upper halves of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, value, _ = _sets(batch, words, least)
             start = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(start), pa.array(value.view(np.int64)))], names=["k", "runs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(start), pa.array(value.view(np.int64) if wide else (value >> np.uint64(32)).astype(np.uint32).view(np.int32)))], names=["k", "runs"])
 
     return run
 
@@ -196,8 +198,8 @@ def similar_pairs(texts: DataFrame, key: str, text: str, threshold: float = 0.7,
     # the first `need` common segments lie within the first H + need of either set, H being that of the two sizes
     reach = F.floor((size("ta") + size("tb")) * ((1 - threshold) / (1 + threshold)) + 1e-9) + F.least(wanted("ta"), wanted("tb"))
     fits = fits & (F.greatest(rank("ta"), rank("tb")) < reach)
-    met = a.join(b, "s").where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("ta").alias("ta"), F.first("tb").alias("tb"))
-    candidates = met.where(F.col("n") >= F.least(wanted("ta"), wanted("tb"))).select("a", "b")
+    met = a.join(b, "s").where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min(F.least(wanted("ta"), wanted("tb")).cast("int")).alias("need"))
+    candidates = met.where("n >= need").select("a", "b")
     short = sets.where("short").select("k")
     if short.limit(1).count():
         every = distinct.mapInArrow(_deletions(words, least, threshold, segments), "s bigint, k bigint, tag bigint, kind int")
@@ -207,11 +209,18 @@ def similar_pairs(texts: DataFrame, key: str, text: str, threshold: float = 0.7,
         more = mine.join(theirs, "s").where(ratio & (F.col("a") != F.col("b")) & (F.col("x") + F.col("y") < 2))
         candidates = candidates.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     candidates = cut(candidates)
-    keys = candidates.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    runs = _chosen(distinct, keys, "left_semi").mapInArrow(_set_arrays(words, least), "k bigint, runs array<bigint>")
-    ra, rb = (runs.select(F.col("k").alias(x), F.col("runs").alias(f"r{x}")) for x in "ab")
-    verified = candidates.join(ra, "a").join(rb, "b").select("a", "b", F.size(F.array_intersect("ra", "rb")).alias("shared"), F.size("ra").alias("size_a"), F.size("rb").alias("size_b"))
-    pairs = verified.where(F.col("shared") >= (F.col("size_a") + F.col("size_b") - F.col("shared")) * threshold - 1e-9)
+    ratio = lambda: F.col("shared") >= (F.col("size_a") + F.col("size_b") - F.col("shared")) * threshold - 1e-9
+
+    def overlaps(these: DataFrame, wide: bool) -> DataFrame:
+        slack = F.lit(0) if wide else F.size("ra") - F.size(F.array_distinct("ra"))  # halves that agree within a set hide at most so many shared runs
+        ids = these.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+        runs = _chosen(distinct, ids, "left_semi").mapInArrow(_set_arrays(words, least, wide), f"k bigint, runs array<{'bigint' if wide else 'int'}>")
+        ra, rb = (runs.select(F.col("k").alias(x), F.col("runs").alias(f"r{x}")) for x in "ab")
+        return these.join(ra, "a").join(rb, "b").select("a", "b", (F.size(F.array_intersect("ra", "rb")) + slack).alias("shared"), F.size("ra").alias("size_a"), F.size("rb").alias("size_b")).where(ratio())
+
+    # half of each hash first, which may let through too much but loses nothing; then the whole
+    close = cut(overlaps(candidates, False).select("a", "b"))
+    pairs = cut(overlaps(close, True))
     return pairs, members
 
 
