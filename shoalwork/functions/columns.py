@@ -175,3 +175,19 @@ def squared_distance(a: Column, b: Column) -> Column:
 def unit(v: Column) -> Column:
     norm = F.sqrt(dot(v, v))
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+
+
+def shortened(c: Column, most: int) -> Column:
+    """White space as single blanks, cut to `most` characters with ... behind."""
+    s = F.trim(F.regexp_replace(text(c), r"\s+", " "))
+    return F.when(F.length(s) > most, F.concat(F.substring(s, 1, most), F.lit("..."))).otherwise(s)
+
+
+def epoch_number(name: Column) -> Column:
+    """The number after 'epoch' in a file name, else its first number; null without one."""
+    marked, first = F.regexp_extract(name, r"epoch[_-]?(\d+)", 1), F.regexp_extract(name, r"(\d+)", 1)
+    return F.when(marked != "", marked).when(first != "", first).try_cast("int")
+
+
+def relation_label(src: Column, etype: Column, dst: Column) -> Column:
+    return F.concat_ws("->", src, etype, dst)

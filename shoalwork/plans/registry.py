@@ -13,6 +13,7 @@ from shoalwork.operators import features as T
 from shoalwork.operators import graph as G
 from shoalwork.operators import links as L
 from shoalwork.operators import scaling as S
+from shoalwork.operators import training as R
 from shoalwork.operators.packed import split_packed
 from shoalwork.plans.cut import cut
 from shoalwork.sources.files import to_events
@@ -241,8 +242,11 @@ def _feature_query(name: str):
     return run
 
 
-for _name in T.FEATURE_SETS:
+_PARTS = " JOIN ".join(f"({SQL[n]}) USING (email_index)" if i else f"({SQL[n]})" for i, n in enumerate(("time_features", "subject_features", "body_features", "participant_features", "link_features")))
+
+for _name, (_groups, _dropped) in T.FEATURE_SETS.items():
     QUERIES[_name] = _feature_query(_name)
+    SQL[_name] = f"SELECT email_index, {', '.join(dict.fromkeys(c for g in _groups for c in g if c not in _dropped))} FROM {_PARTS} JOIN (SELECT email_index, coalesce(body, '') AS body FROM trec07_misp) USING (email_index)"
 
 
 # --- the graph
@@ -596,6 +600,37 @@ def sage_mean(spark, folder):
     return out.select("vec_id", *(F.round(F.col("embedding")[k], 6).alias(f"h{k}") for k in range(4)))
 
 
+@query("SELECT round(avg(sqrt(list_dot_product(v, v))), 6) AS mean, round(max(sqrt(list_dot_product(v, v))), 6) AS most FROM (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings)")
+def vector_norms(spark, folder):
+    return R.norms(vectors(spark, folder), "embedding")
+
+
+@query(f"WITH {_SCORED} SELECT count(*) AS n, round(avg((1 - label) * score + greatest(-score, 0) + ln(1 + exp(-abs(score)))), 6) AS loss, round(avg(CASE WHEN (score >= 0) = (label = 1) THEN 1.0 ELSE 0 END), 6) AS accuracy FROM sc")
+def link_loss(spark, folder):
+    return R.accuracy(_scored(spark, folder), "score", "label")
+
+
+@query(f"WITH {_SCORED}, g AS (SELECT etype, src, score, label, max(score / 0.1) OVER w AS m FROM sc WINDOW w AS (PARTITION BY etype, src)), l AS (SELECT etype, score, label, ln(sum(exp(score / 0.1 - m)) OVER (PARTITION BY etype, src)) + m AS lse FROM g) SELECT etype, round(avg(lse - score / 0.1), 5) AS loss FROM l WHERE label = 1 GROUP BY 1")
+def link_contrast(spark, folder):
+    scored = _scored(spark, folder).withColumn("g", F.struct("etype", "src"))
+    w = R.contrast(scored.withColumn("one", F.lit(1)), "g", "score", "label")
+    counts = scored.where("label = 1").groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    return w.join(counts, "g").groupBy(F.col("g.etype").alias("etype")).agg(F.round(F.sum(F.col("loss") * F.col("n")) / F.sum("n"), 5).alias("loss"))
+
+
+@query()
+def relation_training(spark, folder):
+    """The relation vector that a DistMult head learns for all relations together."""
+    v = vectors(spark, folder)
+    weights = R.train_relation(_scored(spark, folder).drop("score"), v, "src", "dst", "label", "vec_id", "embedding")
+    return spark.createDataFrame([(i, round(w, 6)) for i, w in enumerate(weights)], "dim int, weight double")
+
+
+@query()
+def dbscan_grid(spark, folder):
+    return R.grid(vectors(spark, folder), "vec_id", "embedding", "label", [1.05, 1.15, 1.25])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
