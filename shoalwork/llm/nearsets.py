@@ -175,7 +175,7 @@ def similar_pairs(texts: DataFrame, key: str, text: str, threshold: float = 0.7,
     pairs: a, b, shared, size_a, size_b between representatives of equal sets, a < b. members: k, rep, one row for each
     text of at least `least` distinct runs. Equal sets are compared once, through their smallest key; nothing is lost,
     sampled or capped. Null and short texts have no row; texts are read whole; other columns are ignored. Keys are
-    bigints and distinct; null keys are left out. Empty tables give empty results.
+    bigints; a repeated row of a key counts once, null keys are left out. Empty tables give empty results.
     """
     spark = texts.sparkSession
     docs = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
@@ -183,7 +183,7 @@ def similar_pairs(texts: DataFrame, key: str, text: str, threshold: float = 0.7,
     parts = surveyed.where("sketch is not null").select("sketch")
     merged = parts.mapInPandas(_add_sketches, "sketch binary").coalesce(1).mapInPandas(_add_sketches, "sketch binary").first()
     sketch = spark.sparkContext.broadcast(merged["sketch"] if merged else zlib.compress(np.zeros(1 << SKETCH_BITS, np.uint16).tobytes()))  # of fixed size
-    sets = surveyed.where("sketch is null").drop("sketch")
+    sets = surveyed.where("sketch is null").drop("sketch").dropDuplicates(["k"])
     reps = sets.groupBy("set_hi", "set_lo", "size").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n"))
     copies = cut(sets.join(reps.where("n > 1"), ["set_hi", "set_lo", "size"]).where("k <> rep").select("k", "rep"))
     members = sets.select("k").join(copies, "k", "left").select("k", F.coalesce("rep", "k").alias("rep"))
@@ -216,7 +216,7 @@ def similar_pairs(texts: DataFrame, key: str, text: str, threshold: float = 0.7,
         ids = these.select(F.explode(F.array("a", "b")).alias("k")).distinct()
         runs = _chosen(distinct, ids, "left_semi").mapInArrow(_set_arrays(words, least, wide), f"k bigint, runs array<{'bigint' if wide else 'int'}>")
         ra, rb = (runs.select(F.col("k").alias(x), F.col("runs").alias(f"r{x}")) for x in "ab")
-        return these.join(ra, "a").join(rb, "b").select("a", "b", (F.size(F.array_intersect("ra", "rb")) + slack).alias("shared"), F.size("ra").alias("size_a"), F.size("rb").alias("size_b")).where(ratio())
+        return these.join(ra, "a").join(rb, "b").select("a", "b", (F.size(F.array_intersect("ra", "rb")) + slack).alias("shared"), F.size("ra").alias("size_a"), F.size("rb").alias("size_b")).where(ratio()).dropDuplicates(["a", "b"])
 
     # half of each hash first, which may let through too much but loses nothing; then the whole
     close = cut(overlaps(candidates, False).select("a", "b"))

@@ -237,7 +237,8 @@ def test_similar_pairs_lose_nothing(spark, segments):
     """With few segments most sets are short of them and meet through deletions."""
     rng = random.Random(segments)
     texts = near_corpus(rng, 160) + [None, "", "too short", "dup " * 3 + " ".join(map(str, range(60)))] * 2
-    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").withColumn("s", F.lit("clash")).withColumn("size", F.lit(1))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows + rows[:20] + rows[-1:] + [(None, texts[0])], "k long, t string").withColumn("s", F.lit("clash")).withColumn("size", F.lit(1))
     pairs, members = similar_pairs(df, "k", "t", segments=segments)
     got = [tuple(r) for r in all_pairs(pairs, members, "k").collect()]
     assert len(got) == len(set(got)) and set(got) == brute(texts, 0.7, 20)
