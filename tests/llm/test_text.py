@@ -4,12 +4,13 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from shoalwork.llm import mojibake as M
 from shoalwork.llm.containers import fill_containers, plan_best_fit
-from shoalwork.llm.inherited import inherited_lines, read_marks
+from shoalwork.llm.inherited import MOST_BITS, MOST_EDITS, families, fingerprints, inherited_lines, near_known, read_marks
 from shoalwork.llm.lookalikes import lookalike_pairs, visible_forms
 from shoalwork.llm.mailings import cluster_mails, described, markov_clusters, neighbours
 from shoalwork.llm.nearsets import all_pairs, similar_pairs
@@ -206,6 +207,37 @@ def test_inherited_lines(spark):
     assert inherited_lines(df.limit(0)).collect() == []
 
 
+def test_unmarked_notices_with_other_names(spark):
+    notice = "Disclaimer: the content of this message belongs to {} and may not be passed on."
+    names = ["Broindline & Co", "Ostanmed", "Yarebank", "Lunemed Ltd", "Pelibank GmbH", "Tanasoft", "Zanumtec", "Calepost", "Dorerg", "Holamart", "Ulobank", "Navenline"]
+    plain = "We met {} and the engine was put into the harbour again.\n\nIt ran for a day and nobody was there to see it leave.\n\n"
+    marked = [plain.format(n) + notice.format("Morolmbank") for n in ("Ann", "Bob", "Cid")]
+    rows = [*marked, *(plain.format(n) + notice.format(n)[12:] for n in names)]
+    found = {(r.email_index, r.line_no) for r in inherited_lines(spark.createDataFrame(list(enumerate(rows)), "email_index long, body string")).collect()}
+    assert found == {(i, 5) for i in range(len(rows))}
+
+
+def test_near_known_equals_brute_force():
+    rng = random.Random(5)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            row, last = [i], row
+            for j, d in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
+        return row[-1]
+
+    text = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    known = [text(rng.randrange(3, 22)) for _ in range(12)]
+    known += [" ".join(rng.choice(WORDS) if rng.random() < 0.1 else w for w in k.split()) for k in known]
+    asked = [" ".join(rng.choice(["é", *WORDS]) if rng.random() < 0.2 else w for w in rng.choice(known).split()) for _ in range(60)] + [text(8) for _ in range(30)] + ["x" * 900]
+    marks, prints = fingerprints(pa.array(known)), fingerprints(pa.array(asked))
+    want = [t for t, f in zip(asked, prints) if any((int(f) ^ int(m)).bit_count() <= MOST_BITS and edits(t, k) <= MOST_EDITS * max(len(t), len(k)) for k, m in zip(known, marks))]
+    assert 10 < len(want) < len(asked) and sorted(near_known(asked, *families(known))) == sorted(want)
+    assert near_known(asked, *families([])) == []
+
+
 # --- near-duplicates
 
 
