@@ -122,16 +122,17 @@ def _both_cases(letters: set[str]) -> set[str]:
 class Classifier:
     """Multinomial naive Bayes: class 0 is intact text, class i + 1 the chain i. A class' share is that of the words it can garble."""
 
-    def __init__(self, log_p: np.ndarray, log_share: np.ndarray, vocabulary: dict[str, int], raw: set[str], letters: set[str]):
+    def __init__(self, log_p: np.ndarray, log_share: np.ndarray, vocabulary: dict[str, int], raw: set[str], letters: set[str], own: int = 0):
         self.log_p, self.log_share, self.vocabulary, self.raw, self.letters = log_p, log_share, vocabulary, raw, letters
         self.blocks = {ord(c) >> 12 << 4 | b for c in letters if c >= "\u3000" for b in range(16)}  # large scripts are not seen whole
         self.known: dict[str, np.ndarray] = {}
+        self.own = own  # 1 if the field that is judged is itself among those counted: then a word must occur elsewhere to be known
 
     @classmethod
-    def train(cls, words: Counter, rounds: int = 2) -> Classifier:
-        """Fit to words with their counts. Words of the corpus that are garbled themselves are left out first: those that UTF-8
+    def train(cls, words: Counter, rounds: int = 2, corpus: Counter | None = None) -> Classifier:
+        """Fit bigrams to words with their counts; vocabulary and letters are those of the whole corpus (else of the words). Words of the corpus that are garbled themselves are left out first: those that UTF-8
         steps turn into letters of the corpus, and those that a single-byte step turns into a much more common word."""
-        intact = {w: n for w, n in words.items() if LOST not in w and len(w) <= 200}
+        intact = {w: n for w, n in (words if corpus is None else corpus).items() if LOST not in w and len(w) <= 200}
         steps = [c for c in CHAINS if structured(c)]
         back = {w: [r for c in steps if (r := ungarble(w, c)) is not None and r != w] for w in intact}
         often = Counter()
@@ -140,11 +141,12 @@ class Classifier:
                 for c in beyond_ascii(w):
                     often[c] += intact[w]
         letters = _both_cases({c for c, n in often.items() if n >= 5e-4 * often.total()})
-        intact = {w: n for w, n in intact.items() if not any(all(c in letters for c in beyond_ascii(r)) for r in back[w])}
+        blocks = {ord(c) >> 12 << 4 | b for c in letters if c >= "\u3000" for b in range(16)}
+        intact = {w: n for w, n in intact.items() if not any(all(c in letters or (c >= "\u3000" and ord(c) >> 8 in blocks) for c in beyond_ascii(r)) for r in back[w])}
         for turn in range(rounds):
             counts, share = np.full((len(CHAINS) + 1, BUCKETS), 0.01), np.full(len(CHAINS) + 1, 0.01)
             for i, chain in enumerate([(), *CHAINS]):
-                garbled = [(g, n) for w, n in intact.items() if (g := garble(w, chain)) is not None and (not chain or g != w)]
+                garbled = [(g, n) for w, n in words.items() if w in intact and (g := garble(w, chain)) is not None and (not chain or g != w)]
                 if garbled:
                     bucket, start = _features([g for g, _ in garbled])
                     weight = np.sqrt([n for _, n in garbled])
@@ -153,7 +155,7 @@ class Classifier:
             vocabulary: Counter = Counter()
             for w, n in intact.items():
                 vocabulary[bare(w)] += n
-            model = cls(np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32), np.log(share / share[0]).astype(np.float32), dict(vocabulary), set(intact), _both_cases({c for w in intact for c in beyond_ascii(w)}))
+            model = cls(np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32), np.log(share / share[0]).astype(np.float32), dict(vocabulary), {w for w, n in intact.items() if n > 1 or corpus is None}, _both_cases({c for w in intact for c in beyond_ascii(w)}), int(corpus is not None))
             names = list(intact)
             if turn == rounds - 1 or not names:
                 return model
@@ -194,7 +196,7 @@ def _replacements(words: list[str], gain: np.ndarray, chain: tuple[Step, ...], m
     for w, g in zip(words, gain):
         if (r := ungarble(w, chain)) is None or r == w:
             continue
-        before, after = model.vocabulary.get(bare(w), 0), model.vocabulary.get(bare(r), 0)
+        before, after = max(0, model.vocabulary.get(bare(w), 0) - model.own), model.vocabulary.get(bare(r), 0)  # elsewhere than here
         familiar = all(c in model.letters or (c >= "\u3000" and ord(c) >> 8 in model.blocks) for c in beyond_ascii(r))
         if multi:
             if w not in model.raw and familiar:
@@ -221,7 +223,7 @@ def restore(text: str | None, model: Classifier) -> tuple[str | None, bool]:
     garbled = LOST in text
     for turn in range(3):
         plain = [w for w in dict.fromkeys(WORD.findall(text)) if LOST not in w]
-        if all(bare(w) in model.vocabulary for w in plain):
+        if all(model.vocabulary.get(bare(w), 0) > model.own for w in plain):
             break
         gain = model.table(plain)
         gain = gain[:, 1:] - gain[:, :1]
@@ -242,14 +244,18 @@ def restore(text: str | None, model: Classifier) -> tuple[str | None, bool]:
 
 
 def fit(rows: DataFrame, fields: list[str], sample: int = SAMPLE) -> Classifier:
-    """The classifier of a corpus, from at most `sample` fields with characters beyond ASCII, chosen by the hash of their text."""
+    """The classifier of a corpus: vocabulary and letters from all distinct fields with characters beyond ASCII, bigrams from
+    at most `sample` of them, chosen by the hash of their text."""
     texts = [rows.select(F.col(f).alias("t")).where(r"t rlike '[^\\x00-\\x7F]'") for f in fields]
     both = texts[0]
     for t in texts[1:]:
         both = both.unionByName(t)
+    hashed = both.select("t", F.xxhash64("t").alias("h"))
+    last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     words = F.regexp_extract_all("t", F.lit(r"([^ \t\r\n]*[^\x00-\x7F][^ \t\r\n]*)"), 1)
-    drawn = both.orderBy(F.xxhash64("t")).limit(sample).select(F.explode(words).alias("w")).groupBy("w").count()
-    return Classifier.train(Counter({r["w"]: r["count"] for r in drawn.collect()}))  # bounded by the sample
+    counted = hashed.distinct().select("h", F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("h") <= F.lit(last)).alias("drawn")).where(F.length("w") <= 200)
+    found = counted.orderBy("w").collect()  # the distinct words beyond ASCII
+    return Classifier.train(Counter({r["w"]: r["drawn"] for r in found if r["drawn"]}), corpus=Counter({r["w"]: r["n"] for r in found}))
 
 
 def _over(model: tuple, n: int, digest: bool):
@@ -272,7 +278,7 @@ def restored_texts(rows: DataFrame, key: str, fields: list[str], model: Classifi
     """(key, *fields) with garbled fields restored as far as possible and all others as they are."""
     kind = dict(rows.dtypes)[key]
     source = rows.select(F.col(key).alias("k"), *fields)
-    return source.mapInArrow(_over((model.log_p, model.log_share, model.vocabulary, model.raw, model.letters), len(fields), False), f"k {kind}, {', '.join(f'f{i + 1} string' for i in range(len(fields)))}").toDF(key, *fields)
+    return source.mapInArrow(_over((model.log_p, model.log_share, model.vocabulary, model.raw, model.letters, model.own), len(fields), False), f"k {kind}, {', '.join(f'f{i + 1} string' for i in range(len(fields)))}").toDF(key, *fields)
 
 
 def garbled_fields(rows: DataFrame, key: str = "email_index", fields: list[str] = ("subject", "body")) -> DataFrame:
@@ -285,6 +291,6 @@ def garbled_fields(rows: DataFrame, key: str = "email_index", fields: list[str]
     model = fit(rows, fields)
     kind = dict(rows.dtypes)[key]
     some = F.coalesce(*(F.when(F.col(f).rlike(r"[^\x00-\x7F]"), F.lit(True)) for f in fields), F.lit(False))
-    found = rows.where(some).select(F.col(key).alias("k"), *fields).mapInArrow(_over((model.log_p, model.log_share, model.vocabulary, model.raw, model.letters), len(fields), True), f"k {kind}, {', '.join(f'f{i + 1} string' for i in range(len(fields)))}")
+    found = rows.where(some).select(F.col(key).alias("k"), *fields).mapInArrow(_over((model.log_p, model.log_share, model.vocabulary, model.raw, model.letters, model.own), len(fields), True), f"k {kind}, {', '.join(f'f{i + 1} string' for i in range(len(fields)))}")
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"f{i + 1}").alias("m")) for i, f in enumerate(fields)))).alias("x")
     return found.select(F.col("k").alias(key), pairs).select(key, F.col("x.field").alias("field"), F.col("x.m").alias("restored_md5")).where("restored_md5 is not null")

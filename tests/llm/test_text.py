@@ -156,6 +156,14 @@ def test_garbled_fields(spark):
     assert M.garbled_fields(df.limit(0)).collect() == []
 
 
+def test_words_outside_the_sample_are_known(spark):
+    rng = random.Random(8)
+    rows = corpus(rng, 300) + [f"{t} Störung" for t in corpus(rng, 30)]
+    df = spark.createDataFrame(list(enumerate(rows)), "email_index long, body string")
+    model = M.fit(df, ["body"], sample=5)
+    assert model.vocabulary["störung"] == 30 and "Störung" in model.raw
+
+
 # --- inherited lines
 
 MAIL = """Hello Zoë,
