@@ -4,8 +4,10 @@ The universe of runs is partitioned: within a band of set sizes every run is has
 of similarity t differ in at most H runs, H = (1 - t) / (1 + t) * (sum of their sizes), each of which spoils one segment,
 so that all segments of a set but H are equal in the other one. Each set has its segments allocated by cost: ordered by
 how often their content occurs in the corpus (a sketch of fixed size over all rows), the cheapest H + need are indexed,
-and similar sets share at least `need` of them. A set with too few filled segments for that (rare by design) meets the
-others through its segments' contents with one run deleted. Candidates are verified exactly on the whole sets.
+and similar sets share at least `need` of them. Deletions of one run from a segment answer for two spoiled segments; they cost
+more than the whole content, so the allocation takes them where the whole segments do not suffice, and finer segments
+where even they do not. Candidates are first held against the parities of their sets by segment (which differ in no more
+places than the sets do), then verified exactly on the whole sets.
 """
 
 from __future__ import annotations
@@ -17,15 +19,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalwork.llm.hashing import ODD, mix, shingle_sets
+from shoalwork.operators.graph import components
 from shoalwork.plans.cut import cut
 
 BAND, SEGMENTS, GROWTH = 384, 512, 4  # the first band holds sets of up to BAND runs in SEGMENTS segments; each further band GROWTH times as many
 NEED = 4  # segments that a pair must share before it is verified
-SKETCH_BITS = 23  # counters of the cost sketch, whatever the corpus
+SLICE = 1 << 20  # bytes of text whose sets are in memory at once
+SKETCH_BITS, RANGES = 23, 64  # counters of the cost sketch, whatever the corpus, and the ranges that are summed apart
 
 
 def band_of(sizes: np.ndarray) -> np.ndarray:
@@ -60,6 +65,16 @@ def _segment(row: np.ndarray, value: np.ndarray, sizes: np.ndarray, t: float, se
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches (key, text) in slices of about SLICE bytes of text, one text at least."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(size) // SLICE
+        at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+        for a, b in zip(at, [*at[1:], len(part)]):
+            yield batch.slice(a, b - a)
+
+
 def _sets(batch: pa.RecordBatch, words: int, least: int):
     row, value = shingle_sets(batch.column(1), words)
     sizes = np.bincount(row, minlength=batch.num_rows)
@@ -67,45 +82,83 @@ def _sets(batch: pa.RecordBatch, words: int, least: int):
     return row[keep], value[keep], np.where(sizes >= least, sizes, 0)
 
 
+def _reach(filled: np.ndarray, several: np.ndarray, size: np.ndarray, t: float) -> np.ndarray:
+    """How a set is found: 0 by whole segments, 1 with deletions as well, 2 not even with these (finer segments are needed).
+
+    A whole segment answers for one spoiled segment, one with its deletions for two; `several` counts those of two and
+    more runs. Deletions cost at least as much as the whole content they belong to, so they are taken last.
+    """
+    most = bound(size, t)
+    return np.where(filled > most, 0, np.where(filled + several > most, 1, 2))
+
+
 def _survey(words: int, least: int, t: float, segments: int):
-    """Of each row its key, the hash and the size of its set; at the end of each task its part of the sketch."""
-    names = ["k", "set_hi", "set_lo", "size", "short", "sketch"]
+    """Of each row its key, the hash, size and parities of its set, and how it is found; at the end of each task its part of the sketch."""
+    names = ["k", "set_hi", "set_lo", "size", "way", "bits", "range", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint16)
-        for batch in batches:
+        for batch in _slices(batches):
             row, value, sizes = _sets(batch, words, least)
             if not len(row):
                 continue
-            short = np.zeros(batch.num_rows, bool)
-            for r, _, signature, _, _ in _segment(row, value, sizes, t, segments):
+            way = np.zeros(batch.num_rows, np.int32)
+            for r, _, signature, runs, _ in _segment(row, value, sizes, t, segments):
                 slot, times = np.unique(signature >> np.uint64(64 - SKETCH_BITS), return_counts=True)
                 counts[slot] = np.minimum(counts[slot] + times, 65_535)
                 filled = np.bincount(r, minlength=batch.num_rows)
-                short |= (filled > 0) & (filled <= bound(sizes, t))
+                way = np.maximum(way, np.where(filled > 0, _reach(filled, np.bincount(r[runs > 1], minlength=batch.num_rows), sizes, t), 0).astype(np.int32))
             start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             sums = [np.add.reduceat(mix(value ^ odd), start).view(np.int64) for odd in (ODD[0], ODD[1])]
             at = row[start]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sizes[at].astype(np.int32)), pa.array(short[at]), pa.nulls(len(at), pa.binary())], names=names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.bool_()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=names)
+            none = pa.nulls(len(at), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sizes[at].astype(np.int32)), pa.array(way[at]), _parities(row, value, sizes, start), none, pa.nulls(len(at), pa.binary())], names=names)
+        parts = [(i, part) for i, part in enumerate(counts.reshape(RANGES, -1)) if part.any()]
+        if parts:
+            empty = [pa.nulls(len(parts), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array([i for i, _ in parts], pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for _, c in parts], pa.binary())], names=names)
 
     return run
 
 
-def _add_sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for batch in batches:
-        for part in batch["sketch"]:
-            total = np.minimum(total + np.frombuffer(zlib.decompress(part), np.uint16), 65_535)
-    yield pd.DataFrame({"sketch": [zlib.compress(total.astype(np.uint16).tobytes(), 1)]})
+def _parities(row: np.ndarray, value: np.ndarray, sizes: np.ndarray, start: np.ndarray) -> pa.ListArray:
+    """Of each set a bit for each of 512 segments (four times as many in each further band): whether it holds an odd number of runs.
+
+    Two sets differ in at least as many runs as bits, which refutes most candidates without their sets.
+    """
+    at = row[start]
+    long_words = (8 * GROWTH ** band_of(sizes[at])).astype(np.int64)
+    first = np.cumsum(np.r_[0, long_words])
+    which = np.cumsum(np.r_[False, row[1:] != row[:-1]])
+    bit = (mix(value ^ ODD[4]) % (64 * long_words[which]).astype(np.uint64)).astype(np.int64)
+    place, odd = np.unique(first[which] * 64 + bit, return_counts=True)
+    place = place[odd % 2 == 1]
+    out = np.zeros(first[-1], np.uint64)
+    np.bitwise_or.at(out, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(out.view(np.int64)))
+
+
+def _add_range(parts: pd.DataFrame) -> pd.DataFrame:
+    """The sum of one range of counters over all tasks."""
+    total = np.zeros((1 << SKETCH_BITS) // RANGES, np.uint32)
+    for part in parts["sketch"]:
+        total = np.minimum(total + np.frombuffer(zlib.decompress(part), np.uint16), 65_535)
+    return pd.DataFrame({"range": parts["range"].iloc[:1], "sketch": [zlib.compress(total.astype(np.uint16).tobytes(), 1)]})
+
+
+def _counters(parts: dict[int, bytes]) -> np.ndarray:
+    out = np.zeros((RANGES, (1 << SKETCH_BITS) // RANGES), np.uint16)
+    for i, part in parts.items():
+        out[i] = np.frombuffer(zlib.decompress(part), np.uint16)
+    return out.ravel()
 
 
 def _index(words: int, least: int, t: float, segments: int, sketch, need: int):
     """(signature, key, tag) of the allocated segments; tag = (size * 64 + needed matches) * 65536 + rank by cost. Sets that are short of segments are left to the deletions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost_of = np.frombuffer(zlib.decompress(sketch.value), np.uint16)
-        for batch in batches:
+        cost_of = _counters(sketch.value)
+        for batch in _slices(batches):
             row, value, sizes = _sets(batch, words, least)
             if not len(row):
                 continue
@@ -119,46 +172,53 @@ def _index(words: int, least: int, t: float, segments: int, sketch, need: int):
                 spare = filled - bound(sizes[r[start]], t)
                 needed = np.repeat(np.clip(spare, 0, need), filled)
                 tag = (sizes[r] * 64 + needed) * 65_536 + np.minimum(rank, 65_535)
-                short = needed == 0
-                use = ~short & (rank < bound(sizes[r], t) + needed)
+                use = (needed > 0) & (rank < bound(sizes[r], t) + needed)
                 yield pa.RecordBatch.from_arrays([pa.array(signature[use].view(np.int64)), batch.column(0).take(pa.array(r[use])), pa.array(tag[use].astype(np.int64))], names=["s", "k", "tag"])
 
     return run
 
 
 def _deletions(words: int, least: int, t: float, segments: int):
-    """(signature, key, tag, kind): contents of all segments, whole (kind 0) and with one run deleted (kind 1), an empty one standing for itself."""
+    """(signature, key, size, kind): contents of all filled segments, whole (kind 0), and those of two and more runs with one deleted (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             row, value, sizes = _sets(batch, words, least)
             if not len(row):
                 continue
-            for r0, b0, signature, _, (r, v, _, start, total, place) in _segment(row, value, sizes, t, segments):
-                runs = np.diff(np.r_[start, len(r)])
+            for r0, _, signature, runs, (r, v, _, _, total, place) in _segment(row, value, sizes, t, segments):
                 less = mix(np.repeat(total, runs) - mix(v ^ ODD[3]) + mix(np.repeat(place, runs)))
-                # segments that are empty here count as whole ones without a run
-                rows, first = np.unique(r0, return_index=True)
-                m = (segments * float(GROWTH) ** b0[first]).astype(np.int64)
-                every = np.repeat(rows, m)
-                number = np.concatenate([np.arange(x, dtype=np.uint64) for x in m])
-                empty = mix(mix(number * ODD[0] + np.repeat(b0[first], m).astype(np.uint64) * ODD[4]))
-                filled = pd.MultiIndex.from_arrays([r0, place])
-                is_empty = ~pd.MultiIndex.from_arrays([every, number * ODD[0] + np.repeat(b0[first], m).astype(np.uint64) * ODD[4]]).isin(filled)
-                for rr, ss, kind in ((r0, signature, 0), (every[is_empty], empty[is_empty], 0), (r, less, 1)):
-                    yield pa.RecordBatch.from_arrays([pa.array(ss.view(np.int64)), batch.column(0).take(pa.array(rr)), pa.array((sizes[rr] << 22).astype(np.int64)), pa.array(np.full(len(rr), kind, np.int32))], names=["s", "k", "tag", "kind"])
+                several = np.repeat(runs, runs) > 1
+                for rr, ss, kind in ((r0, signature, 0), (r[several], less[several], 1)):
+                    yield pa.RecordBatch.from_arrays([pa.array(ss.view(np.int64)), batch.column(0).take(pa.array(rr)), pa.array(sizes[rr].astype(np.int64)), pa.array(np.full(len(rr), kind, np.int32))], names=["s", "k", "size", "kind"])
+
+    return run
+
+
+def _ways(words: int, least: int, t: float, segments: int):
+    """(key, way) of the sets that whole segments alone do not find."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            row, value, sizes = _sets(batch, words, least)
+            way = np.zeros(batch.num_rows, np.int32)
+            for r, _, _, runs, _ in _segment(row, value, sizes, t, segments) if len(row) else ():
+                filled = np.bincount(r, minlength=batch.num_rows)
+                way = np.maximum(way, np.where(filled > 0, _reach(filled, np.bincount(r[runs > 1], minlength=batch.num_rows), sizes, t), 0).astype(np.int32))
+            at = np.flatnonzero(way)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(way[at])], names=["k", "way"])
 
     return run
 
 
-def _set_arrays(words: int, least: int, wide: bool):
-    """The set of each row: its hashes, or the upper halves of them."""
+def _set_arrays(words: int, least: int):
+    """The set of each row as its hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             row, value, _ = _sets(batch, words, least)
             start = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(start), pa.array(value.view(np.int64) if wide else (value >> np.uint64(32)).astype(np.uint32).view(np.int32)))], names=["k", "runs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(start), pa.array(value.view(np.int64)))], names=["k", "runs"])
 
     return run
 
@@ -179,11 +239,10 @@ def similar_pairs(texts: DataFrame, key: str, text: str, threshold: float = 0.7,
     """
     spark = texts.sparkSession
     docs = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
-    surveyed = cut(docs.mapInArrow(_survey(words, least, threshold, segments), "k bigint, set_hi bigint, set_lo bigint, size int, short boolean, sketch binary"))
-    parts = surveyed.where("sketch is not null").select("sketch")
-    merged = parts.mapInPandas(_add_sketches, "sketch binary").coalesce(1).mapInPandas(_add_sketches, "sketch binary").first()
-    sketch = spark.sparkContext.broadcast(merged["sketch"] if merged else zlib.compress(np.zeros(1 << SKETCH_BITS, np.uint16).tobytes()))  # of fixed size
-    sets = surveyed.where("sketch is null").drop("sketch").dropDuplicates(["k"])
+    surveyed = cut(docs.mapInArrow(_survey(words, least, threshold, segments), "k bigint, set_hi bigint, set_lo bigint, size int, way int, bits array<bigint>, range int, sketch binary"))
+    ranges = surveyed.where("sketch is not null").select("range", "sketch").groupBy("range").applyInPandas(_add_range, "range int, sketch binary")
+    sketch = spark.sparkContext.broadcast({r["range"]: r["sketch"] for r in ranges.collect()})  # of fixed size
+    sets = surveyed.where("sketch is null").drop("range", "sketch").dropDuplicates(["k"])
     reps = sets.groupBy("set_hi", "set_lo", "size").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n"))
     copies = cut(sets.join(reps.where("n > 1"), ["set_hi", "set_lo", "size"]).where("k <> rep").select("k", "rep"))
     members = sets.select("k").join(copies, "k", "left").select("k", F.coalesce("rep", "k").alias("rep"))
@@ -200,27 +259,31 @@ def similar_pairs(texts: DataFrame, key: str, text: str, threshold: float = 0.7,
     fits = fits & (F.greatest(rank("ta"), rank("tb")) < reach)
     met = a.join(b, "s").where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min(F.least(wanted("ta"), wanted("tb")).cast("int")).alias("need"))
     candidates = met.where("n >= need").select("a", "b")
-    short = sets.where("short").select("k")
-    if short.limit(1).count():
-        every = distinct.mapInArrow(_deletions(words, least, threshold, segments), "s bigint, k bigint, tag bigint, kind int")
-        mine = every.join(short, "k", "left_semi").select("s", F.col("k").alias("a"), F.col("tag").alias("ta"), F.col("kind").alias("x"))
-        theirs = every.select("s", F.col("k").alias("b"), F.col("tag").alias("tb"), F.col("kind").alias("y"))
-        ratio = F.least(size("ta"), size("tb")) >= F.greatest(size("ta"), size("tb")) * threshold - 1e-9
+    differ = lambda x, y: F.floor((x + y) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+    grain, short = segments, sets.where("way > 0").select("k", "way")
+    while short.limit(1).count():
+        every = distinct.mapInArrow(_deletions(words, least, threshold, grain), "s bigint, k bigint, size bigint, kind int")
+        mine = every.join(short.where("way = 1").select("k"), "k", "left_semi").select("s", F.col("k").alias("a"), F.col("size").alias("sa"), F.col("kind").alias("x"))
+        theirs = every.select("s", F.col("k").alias("b"), F.col("size").alias("sb"), F.col("kind").alias("y"))
+        ratio = F.least("sa", "sb") >= F.greatest("sa", "sb") * threshold - 1e-9
         more = mine.join(theirs, "s").where(ratio & (F.col("a") != F.col("b")) & (F.col("x") + F.col("y") < 2))
-        candidates = candidates.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    candidates = cut(candidates)
-    ratio = lambda: F.col("shared") >= (F.col("size_a") + F.col("size_b") - F.col("shared")) * threshold - 1e-9
-
-    def overlaps(these: DataFrame, wide: bool) -> DataFrame:
-        slack = F.lit(0) if wide else F.size("ra") - F.size(F.array_distinct("ra"))  # halves that agree within a set hide at most so many shared runs
-        ids = these.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-        runs = _chosen(distinct, ids, "left_semi").mapInArrow(_set_arrays(words, least, wide), f"k bigint, runs array<{'bigint' if wide else 'int'}>")
-        ra, rb = (runs.select(F.col("k").alias(x), F.col("runs").alias(f"r{x}")) for x in "ab")
-        return these.join(ra, "a").join(rb, "b").select("a", "b", (F.size(F.array_intersect("ra", "rb")) + slack).alias("shared"), F.size("ra").alias("size_a"), F.size("rb").alias("size_b")).where(ratio()).dropDuplicates(["a", "b"])
-
-    # half of each hash first, which may let through too much but loses nothing; then the whole
-    close = cut(overlaps(candidates, False).select("a", "b"))
-    pairs = cut(overlaps(close, True))
+        candidates = candidates.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        grain *= GROWTH  # for sets that even deletions do not find
+        rest = short.where("way = 2").select("k")
+        short = cut(_chosen(distinct, rest, "left_semi").mapInArrow(_ways(words, least, threshold, grain), "k bigint, way int").unionByName(rest.select("k", F.lit(1).alias("way"))).groupBy("k").agg(F.max("way").alias("way")))
+    candidates = cut(candidates.distinct())
+
+    bits = sets.select("k", "size", "bits")
+    pa_, pb = (bits.select(F.col("k").alias(x), F.col("size").alias(f"n{x}"), F.col("bits").alias(f"w{x}")) for x in "ab")
+    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    likely = (F.size("wa") != F.size("wb")) | (apart <= differ(F.col("na"), F.col("nb")))
+    close = cut(candidates.join(pa_, "a").join(pb, "b").where(likely).select("a", "b"))
+    ids = close.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    runs = _chosen(distinct, ids, "left_semi").mapInArrow(_set_arrays(words, least), "k bigint, runs array<bigint>").dropDuplicates(["k"])
+    ra, rb = (runs.select(F.col("k").alias(x), F.col("runs").alias(f"r{x}")) for x in "ab")
+    shared = F.size(F.array_intersect("ra", "rb"))
+    sized = close.join(ra, "a").join(rb, "b").select("a", "b", shared.alias("shared"), F.size("ra").alias("size_a"), F.size("rb").alias("size_b"))
+    pairs = cut(sized.where(F.col("shared") >= (F.col("size_a") + F.col("size_b") - F.col("shared")) * threshold - 1e-9))
     return pairs, members
 
 
@@ -233,3 +296,12 @@ def all_pairs(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
     left, right = (members.select(F.col("rep").alias(r), F.col("k").alias(k)) for r, k in (("a", "x"), ("b", "y")))
     across = pairs.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
     return inside.unionByName(across).select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
+
+
+def groups(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """(key, representative, group_id, links): each text with the smallest key of equal sets, the smallest representative
+    that a chain of similar pairs leads to, and the number of different sets it is similar to. Copies are not expanded."""
+    ends = pairs.select("a", "b")
+    links = ends.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    linked = components(ends).select(F.col("node").alias("rep"), F.col("component").alias("group_id")).join(links, "rep")
+    return members.join(linked, "rep", "left").select(F.col("k").alias(key), F.col("rep").alias("representative"), F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))

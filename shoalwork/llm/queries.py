@@ -12,7 +12,7 @@ from shoalwork.llm.inherited import inherited_lines
 from shoalwork.llm.lookalikes import lookalike_pairs, visible_forms
 from shoalwork.llm.mailings import cluster_mails, described, neighbours
 from shoalwork.llm.mojibake import garbled_fields
-from shoalwork.llm.nearsets import all_pairs, similar_pairs
+from shoalwork.llm.nearsets import all_pairs, groups, similar_pairs
 from shoalwork.llm.tokens import encode_corpus
 from shoalwork.plans.cut import cut
 from shoalwork.sources.tables import table
@@ -34,9 +34,18 @@ def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return described(cut(cluster_mails(table(spark, folder, "trec07_misp"))))
 
 
-def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+def _similar_mails(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     mails = table(spark, folder, "trec07_misp").where("body is not null").select("email_index", F.concat(F.coalesce("subject", F.lit("")), F.lit("\n"), "body").alias("text"))
-    return all_pairs(*similar_pairs(mails, "email_index", "text"), "email_index")
+    return similar_pairs(mails, "email_index", "text")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return all_pairs(*_similar_mails(spark, folder), "email_index")
+
+
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """email_index, representative, group_id, links: one row for each mail of 20 and more triples."""
+    return groups(*_similar_mails(spark, folder), "email_index")
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,7 +68,7 @@ def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_clusters, p6_found, p7_ids, p8_containers, p9_found, p9_forms)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_clusters, p6_found, p6_groups, p7_ids, p8_containers, p9_found, p9_forms)}
 
 
 def oracle_sql() -> dict[str, str]:

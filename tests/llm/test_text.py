@@ -13,7 +13,7 @@ from shoalwork.llm.containers import fill_containers, plan_best_fit
 from shoalwork.llm.inherited import MOST_BITS, MOST_EDITS, families, fingerprints, inherited_lines, near_known, read_marks
 from shoalwork.llm.lookalikes import lookalike_pairs, visible_forms
 from shoalwork.llm.mailings import cluster_mails, described, markov_clusters, neighbours
-from shoalwork.llm.nearsets import all_pairs, similar_pairs
+from shoalwork.llm.nearsets import _slices, all_pairs, groups, similar_pairs
 from shoalwork.llm.tokens import cut_points, encode_corpus, encode_spans, load, merge_tree, tokenizer_path
 
 WORDS = "alpha beta gamma delta engine ferry garden harbour invoice journal kettle ledger museum notice office parcel quota report signal ticket".split()
@@ -281,7 +281,19 @@ def test_similar_pairs_lose_nothing(spark, segments):
     df = spark.createDataFrame(rows + rows[:20] + rows[-1:] + [(None, texts[0])], "k long, t string").withColumn("s", F.lit("clash")).withColumn("size", F.lit(1))
     pairs, members = similar_pairs(df, "k", "t", segments=segments)
     got = [tuple(r) for r in all_pairs(pairs, members, "k").collect()]
-    assert len(got) == len(set(got)) and set(got) == brute(texts, 0.7, 20)
+    want = brute(texts, 0.7, 20)
+    assert len(got) == len(set(got)) and set(got) == want
+    rows = {r.k: r for r in groups(pairs, members, "k").collect()}
+    assert len(rows) == members.count() and all(rows[a].group_id == rows[b].group_id for a, b in want)
+    assert {k for k, r in rows.items() if r.links == 0 and r.group_id == k == r.representative} >= set(rows) - {x for p in want for x in p}
+
+
+def test_batches_are_sliced_by_bytes():
+    texts = ["x" * 300_000, None, "y" * 2_000_000, "", "z"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(15)), pa.array(texts)], names=["k", "t"])
+    parts = list(_slices([batch, batch.slice(0, 0)]))
+    assert [k for p in parts for k in p.column(0).to_pylist()] == list(range(15))
+    assert all(sum(len(t or "") for t in p.column(1).to_pylist()[1:]) <= 1 << 20 for p in parts)
 
 
 def test_similar_pairs_empty(spark):
