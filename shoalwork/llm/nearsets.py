@@ -1,13 +1,13 @@
 """Pairs of texts whose word-run sets are similar, with no loss (problem 6).
 
-The universe of runs is partitioned: within a band of set sizes every run is hashed to one of `segments` segments. Sets
-of similarity t differ in at most H runs, H = (1 - t) / (1 + t) * (sum of their sizes), each of which spoils one segment,
-so that all segments of a set but H are equal in the other one. Each set has its segments allocated by cost: ordered by
-how often their content occurs in the corpus (a sketch of fixed size over all rows), the cheapest H + need are indexed,
-and similar sets share at least `need` of them. Deletions of one run from a segment answer for two spoiled segments; they cost
-more than the whole content, so the allocation takes them where the whole segments do not suffice, and finer segments
-where even they do not. Candidates are first held against the parities of their sets by segment (which differ in no more
-places than the sets do), then verified exactly on the whole sets.
+The universe of runs is partitioned: within a band of set sizes every run is hashed to one of `segments` segments, many
+enough that most hold one run of a set. The content of such a segment is indexed whole; of a crowded one the contents
+with one run deleted are, again and again until one run is left, so that a run meets the same run whatever stands beside
+it. Of two sets of similarity t, s1 and s2 runs large, s1 - o contents of the first are not those of the second, o being
+t / (1 + t) * (s1 + s2). Each set has its contents allocated by cost: ordered by how often they occur in the corpus (a
+sketch of fixed size over all rows), its cheapest s1 - o + need are indexed, and similar sets share at least `need` of
+these. Candidates are first held against the parities of their sets by segment (which differ in no more places than the
+sets do), then verified exactly on the whole sets.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from shoalwork.llm.hashing import ODD, mix, shingle_sets
 from shoalwork.operators.graph import components
 from shoalwork.plans.cut import cut
 
-BAND, SEGMENTS, GROWTH = 384, 512, 4  # the first band holds sets of up to BAND runs in SEGMENTS segments; each further band GROWTH times as many
+BAND, SEGMENTS, GROWTH = 384, 4_096, 4  # the first band holds sets of up to BAND runs in SEGMENTS segments; each further band GROWTH times as many
 NEED = 4  # segments that a pair must share before it is verified
 SLICE = 1 << 20  # bytes of text whose sets are in memory at once
 SKETCH_BITS, RANGES = 23, 64  # counters of the cost sketch, whatever the corpus, and the ranges that are summed apart
@@ -38,12 +38,15 @@ def band_of(sizes: np.ndarray) -> np.ndarray:
 
 
 def bound(size: int | np.ndarray, t: float):
-    """The most runs in which a set of this size can differ from one of similarity t, whatever the other's size."""
-    return np.floor(np.asarray(size) * (1 / t - 1) + 1e-9).astype(np.int64)
+    """The most runs of a set of this size that are missing from one of similarity t, whatever the other's size."""
+    return np.floor(np.asarray(size) * (1 - t) + 1e-9).astype(np.int64)
 
 
 def _segment(row: np.ndarray, value: np.ndarray, sizes: np.ndarray, t: float, segments: int):
-    """(row, band, segment, signature, runs) of the filled segments of each row, in its own band and, near its end, in the next."""
+    """(row, signature) of the contents of each row's segments, in its own band and, near its end, in the next.
+
+    A segment with one run has its whole content, a crowded one what deletions leave of it: each of its runs alone.
+    """
     band = band_of(sizes)
     out = []
     for shift in (0, 1):
@@ -51,17 +54,9 @@ def _segment(row: np.ndarray, value: np.ndarray, sizes: np.ndarray, t: float, se
         takes = np.ones(len(sizes), bool) if not shift else sizes >= t * (BAND * float(GROWTH) ** band) - 1
         use = takes[row]
         r, v = row[use], value[use]
-        if not len(r):
-            continue
-        m = (segments * float(GROWTH) ** b[r]).astype(np.uint64)
-        seg = mix(v ^ ODD[2]) % m
-        order = np.lexsort((seg, r))
-        r, v, seg = r[order], v[order], seg[order]
-        start = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (seg[1:] != seg[:-1])])
-        total = np.add.reduceat(mix(v ^ ODD[3]), start)
-        runs = np.diff(np.r_[start, len(r)])
-        place = seg[start] * ODD[0] + b[r[start]].astype(np.uint64) * ODD[4]
-        out.append((r[start], b[r[start]], mix(total + mix(place)), runs, (r, v, seg, start, total, place)))
+        if len(r):
+            segment = mix(v ^ ODD[2]) % (segments * float(GROWTH) ** b[r]).astype(np.uint64)
+            out.append((r, mix(mix(v ^ ODD[3]) + mix(segment * ODD[0] + b[r].astype(np.uint64) * ODD[4]))))
     return out
 
 
@@ -82,19 +77,9 @@ def _sets(batch: pa.RecordBatch, words: int, least: int):
     return row[keep], value[keep], np.where(sizes >= least, sizes, 0)
 
 
-def _reach(filled: np.ndarray, several: np.ndarray, size: np.ndarray, t: float) -> np.ndarray:
-    """How a set is found: 0 by whole segments, 1 with deletions as well, 2 not even with these (finer segments are needed).
-
-    A whole segment answers for one spoiled segment, one with its deletions for two; `several` counts those of two and
-    more runs. Deletions cost at least as much as the whole content they belong to, so they are taken last.
-    """
-    most = bound(size, t)
-    return np.where(filled > most, 0, np.where(filled + several > most, 1, 2))
-
-
 def _survey(words: int, least: int, t: float, segments: int):
-    """Of each row its key, the hash, size and parities of its set, and how it is found; at the end of each task its part of the sketch."""
-    names = ["k", "set_hi", "set_lo", "size", "way", "bits", "range", "sketch"]
+    """Of each row its key, the hash, size and parities of its set; at the end of each task its part of the sketch."""
+    names = ["k", "set_hi", "set_lo", "size", "bits", "range", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint16)
@@ -102,20 +87,17 @@ def _survey(words: int, least: int, t: float, segments: int):
             row, value, sizes = _sets(batch, words, least)
             if not len(row):
                 continue
-            way = np.zeros(batch.num_rows, np.int32)
-            for r, _, signature, runs, _ in _segment(row, value, sizes, t, segments):
+            for _, signature in _segment(row, value, sizes, t, segments):
                 slot, times = np.unique(signature >> np.uint64(64 - SKETCH_BITS), return_counts=True)
                 counts[slot] = np.minimum(counts[slot] + times, 65_535)
-                filled = np.bincount(r, minlength=batch.num_rows)
-                way = np.maximum(way, np.where(filled > 0, _reach(filled, np.bincount(r[runs > 1], minlength=batch.num_rows), sizes, t), 0).astype(np.int32))
             start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             sums = [np.add.reduceat(mix(value ^ odd), start).view(np.int64) for odd in (ODD[0], ODD[1])]
             at = row[start]
             none = pa.nulls(len(at), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sizes[at].astype(np.int32)), pa.array(way[at]), _parities(row, value, sizes, start), none, pa.nulls(len(at), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sizes[at].astype(np.int32)), _parities(row, value, sizes, start), none, pa.nulls(len(at), pa.binary())], names=names)
         parts = [(i, part) for i, part in enumerate(counts.reshape(RANGES, -1)) if part.any()]
         if parts:
-            empty = [pa.nulls(len(parts), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))]
+            empty = [pa.nulls(len(parts), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*empty, pa.array([i for i, _ in parts], pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for _, c in parts], pa.binary())], names=names)
 
     return run
@@ -154,7 +136,7 @@ def _counters(parts: dict[int, bytes]) -> np.ndarray:
 
 
 def _index(words: int, least: int, t: float, segments: int, sketch, need: int):
-    """(signature, key, tag) of the allocated segments; tag = (size * 64 + needed matches) * 65536 + rank by cost. Sets that are short of segments are left to the deletions."""
+    """(signature, key, tag) of the allocated contents; tag = (size * 64 + needed matches) * 65536 + rank by cost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost_of = _counters(sketch.value)
@@ -162,51 +144,18 @@ def _index(words: int, least: int, t: float, segments: int, sketch, need: int):
             row, value, sizes = _sets(batch, words, least)
             if not len(row):
                 continue
-            for r, _, signature, _, _ in _segment(row, value, sizes, t, segments):
+            for r, signature in _segment(row, value, sizes, t, segments):
                 cost = cost_of[(signature >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.lexsort((signature, cost, r))
                 r, signature = r[order], signature[order]
                 start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                filled = np.diff(np.r_[start, len(r)])
-                rank = np.arange(len(r)) - np.repeat(start, filled)
-                spare = filled - bound(sizes[r[start]], t)
-                needed = np.repeat(np.clip(spare, 0, need), filled)
-                tag = (sizes[r] * 64 + needed) * 65_536 + np.minimum(rank, 65_535)
-                use = (needed > 0) & (rank < bound(sizes[r], t) + needed)
-                yield pa.RecordBatch.from_arrays([pa.array(signature[use].view(np.int64)), batch.column(0).take(pa.array(r[use])), pa.array(tag[use].astype(np.int64))], names=["s", "k", "tag"])
-
-    return run
-
-
-def _deletions(words: int, least: int, t: float, segments: int):
-    """(signature, key, size, kind): contents of all filled segments, whole (kind 0), and those of two and more runs with one deleted (kind 1)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            row, value, sizes = _sets(batch, words, least)
-            if not len(row):
-                continue
-            for r0, _, signature, runs, (r, v, _, _, total, place) in _segment(row, value, sizes, t, segments):
-                less = mix(np.repeat(total, runs) - mix(v ^ ODD[3]) + mix(np.repeat(place, runs)))
-                several = np.repeat(runs, runs) > 1
-                for rr, ss, kind in ((r0, signature, 0), (r[several], less[several], 1)):
-                    yield pa.RecordBatch.from_arrays([pa.array(ss.view(np.int64)), batch.column(0).take(pa.array(rr)), pa.array(sizes[rr].astype(np.int64)), pa.array(np.full(len(rr), kind, np.int32))], names=["s", "k", "size", "kind"])
-
-    return run
-
-
-def _ways(words: int, least: int, t: float, segments: int):
-    """(key, way) of the sets that whole segments alone do not find."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            row, value, sizes = _sets(batch, words, least)
-            way = np.zeros(batch.num_rows, np.int32)
-            for r, _, _, runs, _ in _segment(row, value, sizes, t, segments) if len(row) else ():
-                filled = np.bincount(r, minlength=batch.num_rows)
-                way = np.maximum(way, np.where(filled > 0, _reach(filled, np.bincount(r[runs > 1], minlength=batch.num_rows), sizes, t), 0).astype(np.int32))
-            at = np.flatnonzero(way)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(way[at])], names=["k", "way"])
+                rank = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
+                missing = bound(sizes, t)
+                needed = np.clip(sizes - missing, 1, need)
+                use = rank < (missing + needed)[r]
+                r, rank = r[use], rank[use]
+                tag = (sizes[r] * 64 + needed[r]) * 65_536 + np.minimum(rank, 65_535)
+                yield pa.RecordBatch.from_arrays([pa.array(signature[use].view(np.int64)), batch.column(0).take(pa.array(r)), pa.array(tag.astype(np.int64))], names=["s", "k", "tag"])
 
     return run
 
@@ -239,7 +188,7 @@ def similar_pairs(texts: DataFrame, key: str, text: str, threshold: float = 0.7,
     """
     spark = texts.sparkSession
     docs = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
-    surveyed = cut(docs.mapInArrow(_survey(words, least, threshold, segments), "k bigint, set_hi bigint, set_lo bigint, size int, way int, bits array<bigint>, range int, sketch binary"))
+    surveyed = cut(docs.mapInArrow(_survey(words, least, threshold, segments), "k bigint, set_hi bigint, set_lo bigint, size int, bits array<bigint>, range int, sketch binary"))
     ranges = surveyed.where("sketch is not null").select("range", "sketch").groupBy("range").applyInPandas(_add_range, "range int, sketch binary")
     sketch = spark.sparkContext.broadcast({r["range"]: r["sketch"] for r in ranges.collect()})  # of fixed size
     sets = surveyed.where("sketch is null").drop("range", "sketch").dropDuplicates(["k"])
@@ -254,24 +203,14 @@ def similar_pairs(texts: DataFrame, key: str, text: str, threshold: float = 0.7,
     rank = lambda c: F.col(c).bitwiseAND(65_535)
     a, b = (index.select("s", F.col("k").alias(x), F.col("tag").alias(f"t{x}")) for x in "ab")
     fits = (F.least(size("ta"), size("tb")) >= F.greatest(size("ta"), size("tb")) * threshold - 1e-9) & (F.col("a") < F.col("b"))
-    # the first `need` common segments lie within the first H + need of either set, H being that of the two sizes
-    reach = F.floor((size("ta") + size("tb")) * ((1 - threshold) / (1 + threshold)) + 1e-9) + F.least(wanted("ta"), wanted("tb"))
-    fits = fits & (F.greatest(rank("ta"), rank("tb")) < reach)
+    # of the contents that similar sets share, the first `need` by cost lie this far from the front of either
+    least_shared = F.ceil((size("ta") + size("tb")) * (threshold / (1 + threshold)) - 1e-9)
+    near = lambda x: F.when(rank(x) < 65_535, rank(x)).otherwise(0) < size(x) - least_shared + F.least(wanted("ta"), wanted("tb"))
+    fits = fits & near("ta") & near("tb")
     met = a.join(b, "s").where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min(F.least(wanted("ta"), wanted("tb")).cast("int")).alias("need"))
     candidates = met.where("n >= need").select("a", "b")
     differ = lambda x, y: F.floor((x + y) * ((1 - threshold) / (1 + threshold)) + 1e-9)
-    grain, short = segments, sets.where("way > 0").select("k", "way")
-    while short.limit(1).count():
-        every = distinct.mapInArrow(_deletions(words, least, threshold, grain), "s bigint, k bigint, size bigint, kind int")
-        mine = every.join(short.where("way = 1").select("k"), "k", "left_semi").select("s", F.col("k").alias("a"), F.col("size").alias("sa"), F.col("kind").alias("x"))
-        theirs = every.select("s", F.col("k").alias("b"), F.col("size").alias("sb"), F.col("kind").alias("y"))
-        ratio = F.least("sa", "sb") >= F.greatest("sa", "sb") * threshold - 1e-9
-        more = mine.join(theirs, "s").where(ratio & (F.col("a") != F.col("b")) & (F.col("x") + F.col("y") < 2))
-        candidates = candidates.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        grain *= GROWTH  # for sets that even deletions do not find
-        rest = short.where("way = 2").select("k")
-        short = cut(_chosen(distinct, rest, "left_semi").mapInArrow(_ways(words, least, threshold, grain), "k bigint, way int").unionByName(rest.select("k", F.lit(1).alias("way"))).groupBy("k").agg(F.max("way").alias("way")))
-    candidates = cut(candidates.distinct())
+    candidates = cut(candidates)
 
     bits = sets.select("k", "size", "bits")
     pa_, pb = (bits.select(F.col("k").alias(x), F.col("size").alias(f"n{x}"), F.col("bits").alias(f"w{x}")) for x in "ab")
