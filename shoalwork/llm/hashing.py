@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
+SLICE = 1 << 20  # bytes of text that are worked on at once
 _S = [np.uint64(n) for n in (30, 27, 31)]
 _M = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 
@@ -54,3 +57,13 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     first = np.ones(len(row), bool)
     first[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
     return row[first].astype(np.int64), value[first]
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches (key, text) in slices of about SLICE bytes of text, one text at least."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(size) // SLICE
+        at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+        for a, b in zip(at, [*at[1:], len(part)]):
+            yield batch.slice(a, b - a)

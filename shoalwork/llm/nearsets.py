@@ -19,17 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalwork.llm.hashing import ODD, mix, shingle_sets
+from shoalwork.llm.hashing import ODD, mix, shingle_sets, slices
 from shoalwork.operators.graph import components
 from shoalwork.plans.cut import cut
 
 BAND, SEGMENTS, GROWTH = 384, 4_096, 4  # the first band holds sets of up to BAND runs in SEGMENTS segments; each further band GROWTH times as many
 NEED = 4  # segments that a pair must share before it is verified
-SLICE = 1 << 20  # bytes of text whose sets are in memory at once
 SKETCH_BITS, RANGES = 23, 64  # counters of the cost sketch, whatever the corpus, and the ranges that are summed apart
 
 
@@ -60,16 +58,6 @@ def _segment(row: np.ndarray, value: np.ndarray, sizes: np.ndarray, t: float, se
     return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches (key, text) in slices of about SLICE bytes of text, one text at least."""
-    for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = np.cumsum(size) // SLICE
-        at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
-        for a, b in zip(at, [*at[1:], len(part)]):
-            yield batch.slice(a, b - a)
-
-
 def _sets(batch: pa.RecordBatch, words: int, least: int):
     row, value = shingle_sets(batch.column(1), words)
     sizes = np.bincount(row, minlength=batch.num_rows)
@@ -83,7 +71,7 @@ def _survey(words: int, least: int, t: float, segments: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint16)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             row, value, sizes = _sets(batch, words, least)
             if not len(row):
                 continue
@@ -140,7 +128,7 @@ def _index(words: int, least: int, t: float, segments: int, sketch, need: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost_of = _counters(sketch.value)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             row, value, sizes = _sets(batch, words, least)
             if not len(row):
                 continue
@@ -164,7 +152,7 @@ def _set_arrays(words: int, least: int):
     """The set of each row as its hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             row, value, _ = _sets(batch, words, least)
             start = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(start), pa.array(value.view(np.int64)))], names=["k", "runs"])

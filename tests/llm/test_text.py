@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from shoalwork.llm import mojibake as M
 from shoalwork.llm.containers import fill_containers, plan_best_fit
-from shoalwork.llm.inherited import MOST_BITS, MOST_EDITS, families, fingerprints, inherited_lines, near_known, read_marks
+from shoalwork.llm.hashing import slices
+from shoalwork.llm.inherited import MOST_BITS, MOST_EDITS, _in_tables, fingerprints, inherited_lines, judged_lines, masked, near_known, read_marks, slots, used_slots
 from shoalwork.llm.lookalikes import lookalike_pairs, visible_forms
 from shoalwork.llm.mailings import cluster_mails, described, markov_clusters, neighbours
-from shoalwork.llm.nearsets import _slices, all_pairs, groups, similar_pairs
+from shoalwork.llm.nearsets import all_pairs, groups, similar_pairs
 from shoalwork.llm.tokens import cut_points, encode_corpus, encode_spans, load, merge_tree, tokenizer_path
 
 WORDS = "alpha beta gamma delta engine ferry garden harbour invoice journal kettle ledger museum notice office parcel quota report signal ticket".split()
@@ -225,7 +226,8 @@ def test_unmarked_notices_with_other_names(spark):
     assert found == {(i, 5) for i in range(len(rows))}
 
 
-def test_near_known_equals_brute_force():
+def test_tables_against_brute_force(spark):
+    """Recall over all accepted pairs; up to 5 bits nothing is lost."""
     rng = random.Random(5)
 
     def edits(a, b):
@@ -237,13 +239,43 @@ def test_near_known_equals_brute_force():
         return row[-1]
 
     text = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
-    known = [text(rng.randrange(3, 22)) for _ in range(12)]
-    known += [" ".join(rng.choice(WORDS) if rng.random() < 0.1 else w for w in k.split()) for k in known]
-    asked = [" ".join(rng.choice(["é", *WORDS]) if rng.random() < 0.2 else w for w in rng.choice(known).split()) for _ in range(60)] + [text(8) for _ in range(30)] + ["x" * 900]
+    known = [text(rng.randrange(8, 30)) for _ in range(25)]
+    asked = sorted({" ".join(rng.choice(["é", *WORDS]) if rng.random() < 0.06 else w for w in rng.choice(known).split()) for _ in range(150)} | {text(8) for _ in range(30)} | {"x" * 900, ""})
     marks, prints = fingerprints(pa.array(known)), fingerprints(pa.array(asked))
-    want = [t for t, f in zip(asked, prints) if any((int(f) ^ int(m)).bit_count() <= MOST_BITS and edits(t, k) <= MOST_EDITS * max(len(t), len(k)) for k, m in zip(known, marks))]
-    assert 10 < len(want) < len(asked) and sorted(near_known(asked, *families(known))) == sorted(want)
-    assert near_known(asked, *families([])) == []
+    apart = {t: min(((int(f) ^ int(m)).bit_count() for k, m in zip(known, marks) if edits(t, k) <= MOST_EDITS * max(len(t), len(k))), default=64) for t, f in zip(asked, prints)}
+    table = spark.createDataFrame([(0, k) for k in known], "scope long, text string").mapInArrow(_in_tables, "slot bigint, scope bigint, text string, print bigint")
+    slot = slots(prints, prints * 0).view("int64").tolist()
+    rows = spark.createDataFrame([(0, t, p, s) for t, p, s in zip(asked, prints.view("int64").tolist(), slot)], "scope long, text string, print long, slots array<long>")
+    got = {r.text for r in near_known(rows, table).collect()}
+    want = {t for t, d in apart.items() if d <= MOST_BITS}
+    assert 40 < len(want) < len(asked) and got <= want and {t for t, d in apart.items() if d <= 5} <= got and len(got) >= 0.9 * len(want)
+    used = used_slots(table)
+    place = [int(r.slot) & (1 << 27) - 1 for r in table.collect()]
+    assert all(used[p >> 15][(p & 32767) >> 3] >> (p & 7) & 1 for p in place)
+
+
+def test_masked_names():
+    assert masked("Navevtec GmbH accepts no liability, 12 parts") == "x x accepts no liability, 0 parts"
+    assert masked("THIS MAIL IS MEANT FOR YOU") == "x mail is meant for you" and masked("") == ""
+
+
+def test_signatures_of_a_sender(spark):
+    signed = "We met {} and the engine was put into the harbour again.\n\n-- \nIvo Tanner\nSales Desk\n+1 555 0100"
+    bare = "We met Zoe and the engine was put into the harbour again.\n\nIvo Tanner\nSales Desk Europe\nroom behind the stair"
+    rows = [(1, signed.format("Ann"), "Ivo <ivo@x.test>"), (2, bare.replace(" Europe\nroom behind the stair", "\n+1 555 0101"), "IVO@x.test"), (3, bare, "ivo@x.test"), (4, bare, None)]
+    df = spark.createDataFrame(rows, "email_index long, body string, sender string")
+    found = {(r.email_index, r.line_no, r.by) for r in judged_lines(df).collect()}
+    assert {(1, n, "marks") for n in (3, 4, 5, 6)} <= found and {n for k, n, _ in found if k == 2} == {3, 4, 5} and not {k for k, _, _ in found} & {3, 4}
+
+
+def test_marks_in_linear_time():
+    import time
+
+    garbled = "Ã\x90â\x80\x9dÃ\x90Â¾Ã\x90Â±Ã\x91â\x82¬Ã\x91â\x80¹Ã\x90Â¹ Ã\x90Â´Ã\x90ÂµÃ\x90Â½Ã\x91Å\x92,"
+    start = time.process_time()
+    read_marks([garbled, "Best regards,", garbled] * 20)
+    read_marks(["On 2007-09-18 14:59, Ilsa Luna wrote:", "", "Best regards,", ""] * 5_000)
+    assert time.process_time() - start < 3
 
 
 # --- near-duplicates
@@ -291,7 +323,7 @@ def test_similar_pairs_lose_nothing(spark, segments):
 def test_batches_are_sliced_by_bytes():
     texts = ["x" * 300_000, None, "y" * 2_000_000, "", "z"] * 3
     batch = pa.RecordBatch.from_arrays([pa.array(range(15)), pa.array(texts)], names=["k", "t"])
-    parts = list(_slices([batch, batch.slice(0, 0)]))
+    parts = list(slices([batch, batch.slice(0, 0)]))
     assert [k for p in parts for k in p.column(0).to_pylist()] == list(range(15))
     assert all(sum(len(t or "") for t in p.column(1).to_pylist()[1:]) <= 1 << 20 for p in parts)
 
@@ -337,7 +369,7 @@ def test_mailings(spark):
     assert cluster_mails(df.limit(0)).collect() == []
 
 
-def test_neighbours_across_slices(spark):
+def test_neighbours_acrossslices(spark):
     keys = [1, 5, 40_000, 40_001, 200_000]
     df = spark.createDataFrame([(k, 1, 0.5) for k in keys], "email_index long, cluster long, flow double")
     assert sorted(tuple(r) for r in neighbours(df).collect()) == list(zip(keys, keys[1:]))
