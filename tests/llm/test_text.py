@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shoalwork.llm import mojibake as M
 from shoalwork.llm.containers import fill_containers, plan_best_fit
 from shoalwork.llm.hashing import slices
-from shoalwork.llm.inherited import MOST_BITS, MOST_EDITS, _in_tables, fingerprints, inherited_lines, judged_lines, masked, near_known, read_marks, slots, used_slots
+from shoalwork.llm.inherited import MOST_BITS, MOST_EDITS, _in_tables, fingerprints, inherited_lines, judged_lines, near_known, read_marks, sentences, slots, used_slots
 from shoalwork.llm.lookalikes import lookalike_pairs, visible_forms
 from shoalwork.llm.mailings import cluster_mails, described, markov_clusters, neighbours
 from shoalwork.llm.nearsets import all_pairs, groups, similar_pairs
@@ -255,14 +255,14 @@ def test_tables_against_brute_force(spark):
 
 
 def test_masked_names():
-    assert masked("Navevtec GmbH accepts no liability, 12 parts") == "x x accepts no liability, 0 parts"
-    assert masked("THIS MAIL IS MEANT FOR YOU") == "x mail is meant for you" and masked("") == ""
+    assert sentences(["Navevtec GmbH accepts no liability,", "12 parts. Der Morolm."]) == ["x x accepts no liability, 0 parts."]
+    assert sentences(["THIS MAIL IS MEANT FOR YOU. IT IS NOT FOR OTHERS."]) == ["x mail is meant for you.", "x is not for others."] and sentences([""]) == []
 
 
 def test_signatures_of_a_sender(spark):
     signed = "We met {} and the engine was put into the harbour again.\n\n-- \nIvo Tanner\nSales Desk\n+1 555 0100"
     bare = "We met Zoe and the engine was put into the harbour again.\n\nIvo Tanner\nSales Desk Europe\nroom behind the stair"
-    rows = [(1, signed.format("Ann"), "Ivo <ivo@x.test>"), (2, bare.replace(" Europe\nroom behind the stair", "\n+1 555 0101"), "IVO@x.test"), (3, bare, "ivo@x.test"), (4, bare, None)]
+    rows = [(1, signed.format("Ann"), "Ivo <ivo@x.test>"), (5, signed.format("Bob"), "Ivo <ivo@x.test>"), (2, bare.replace(" Europe\nroom behind the stair", "\n+1 555 0101"), "IVO@x.test"), (3, bare, "ivo@x.test"), (4, bare, None)]
     df = spark.createDataFrame(rows, "email_index long, body string, sender string")
     found = {(r.email_index, r.line_no, r.by) for r in judged_lines(df).collect()}
     assert {(1, n, "marks") for n in (3, 4, 5, 6)} <= found and {n for k, n, _ in found if k == 2} == {3, 4, 5} and not {k for k, _, _ in found} & {3, 4}
