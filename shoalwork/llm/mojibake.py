@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 13
 SAMPLE = 12_000  # fields that the classifier is trained on, at most
 MARGIN = 4.0  # nats that speak for a single-byte chain at least
-TRIED = 10  # chains of the highest score that are inverted
 LOST = "�"
 WORD = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
 
@@ -111,6 +110,11 @@ def structured(chain: tuple[Step, ...]) -> bool:
     return all(source == "utf-8" for source, _ in chain)
 
 
+def marked_words(text: str) -> list[str]:
+    """The distinct words with characters beyond ASCII, in order; the same that WORD finds."""
+    return [w for w in dict.fromkeys(text.replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ")) if not w.isascii()]
+
+
 def beyond_ascii(word: str) -> list[str]:
     return [c for c in word if c > "\x7f"]
 
@@ -126,6 +130,8 @@ class Classifier:
         self.log_p, self.log_share, self.vocabulary, self.raw, self.letters = log_p, log_share, vocabulary, raw, letters
         self.blocks = {ord(c) >> 12 << 4 | b for c in letters if c >= "\u3000" for b in range(16)}  # large scripts are not seen whole
         self.known: dict[str, np.ndarray] = {}
+        self.counts: dict[str, int] = {}
+        self.inverse: dict[tuple[int, str], str | None] = {}
         self.own = own  # 1 if the field that is judged is itself among those counted: then a word must occur elsewhere to be known
 
     @classmethod
@@ -166,6 +172,24 @@ class Classifier:
                     del intact[w]
         return model
 
+    def count(self, word: str) -> int:
+        """How often the bare word occurs in the corpus."""
+        n = self.counts.get(word)
+        if n is None:
+            if len(self.counts) > 500_000:
+                self.counts.clear()
+            n = self.counts[word] = self.vocabulary.get(bare(word), 0)
+        return n
+
+    def before(self, word: str, chain: int) -> str | None:
+        """The word before it went through the chain, remembered."""
+        key = (chain, word)
+        if key not in self.inverse:
+            if len(self.inverse) > 500_000:
+                self.inverse.clear()
+            self.inverse[key] = ungarble(word, CHAINS[chain])
+        return self.inverse[key]
+
     def scores(self, words: list[str]) -> np.ndarray:
         """Log likelihood of each word under each class."""
         if not words:
@@ -184,7 +208,7 @@ class Classifier:
         return np.stack([self.known[w] for w in words])
 
 
-def _replacements(words: list[str], gain: np.ndarray, chain: tuple[Step, ...], model: Classifier) -> tuple[float, dict[str, str]]:
+def _replacements(words: list[str], gain: np.ndarray, chain: int, model: Classifier) -> tuple[float, dict[str, str]]:
     """(weight of evidence, word -> restored word) for a chain.
 
     Behind UTF-8 the multi-byte form itself is the evidence, as long as it yields letters of the corpus. Behind a
@@ -192,11 +216,11 @@ def _replacements(words: list[str], gain: np.ndarray, chain: tuple[Step, ...], m
     as it stands, and unknown ones follow only where most are known.
     """
     primary, more, open_, weight = {}, {}, {}, 0.0
-    multi = structured(chain)
-    for w, g in zip(words, gain):
-        if (r := ungarble(w, chain)) is None or r == w:
+    multi = structured(CHAINS[chain])
+    for w, g in zip(words, gain.tolist()):
+        if (r := model.before(w, chain)) is None or r == w:
             continue
-        before, after = max(0, model.vocabulary.get(bare(w), 0) - model.own), model.vocabulary.get(bare(r), 0)  # elsewhere than here
+        before, after = max(0, model.count(w) - model.own), model.count(r)  # elsewhere than here
         familiar = all(c in model.letters or (c >= "\u3000" and ord(c) >> 8 in model.blocks) for c in beyond_ascii(r))
         if multi:
             if w not in model.raw and familiar:
@@ -222,18 +246,20 @@ def restore(text: str | None, model: Classifier) -> tuple[str | None, bool]:
         return text, False
     garbled = LOST in text
     for turn in range(3):
-        plain = [w for w in dict.fromkeys(WORD.findall(text)) if LOST not in w]
-        if all(model.vocabulary.get(bare(w), 0) > model.own for w in plain):
+        plain = [w for w in marked_words(text) if LOST not in w]
+        if all(model.count(w) > model.own for w in plain):
             break
         gain = model.table(plain)
         gain = gain[:, 1:] - gain[:, :1]
         score = np.maximum(gain, 0.0).sum(0)
         best: tuple[float, dict[str, str]] = (0.0, {})
-        for k in np.argsort(-score)[:TRIED]:
+        for k in np.argsort(-score):
+            if score[k] <= 0 and best[1]:
+                break  # nothing speaks for what is left
             multi = structured(CHAINS[k])
             if turn and not multi:
                 continue  # what a part of one field went through beside another chain shows in its form
-            found = _replacements(plain, gain[:, k], CHAINS[k], model)
+            found = _replacements(plain, gain[:, k], int(k), model)
             if found[1] and found[0] > best[0] and (multi or found[0] >= MARGIN):
                 best = found
         if not best[1]:
