@@ -19,6 +19,7 @@ SCHEMA = {
     "sender_from_domain": ("sender", "email_domain"),
     "receiver_from_domain": ("receiver", "email_domain"),
 }
+STRETCH = 500_000  # pairs that are reduced to a forest at once
 COLLAPSIBLE = ("email_domain", "sender", "receiver", "url", "domain", "stem")
 
 
@@ -144,44 +145,48 @@ def undirected(edge: DataFrame) -> DataFrame:
     return edge.select("etype", "src", "dst").unionByName(edge.select(F.concat(F.lit("rev_"), "etype").alias("etype"), F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def _join_in_memory(batches):
-    """Components of all pairs of one partition by hooking and pointer jumping on arrays."""
+def _forest(batches):
+    """Of the pairs of each stretch of a partition, those that link every node with the smallest of its part."""
     import numpy as np
     import pandas as pd
 
-    parts = [p for p in batches if len(p)]
-    if not parts:
-        return
-    pairs = pd.concat(parts)
-    nodes, at = np.unique(np.concatenate([pairs["u"].to_numpy(), pairs["v"].to_numpy()]), return_inverse=True)
-    u, v = at[: len(pairs)], at[len(pairs) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[u], root[v])
-        new = root.copy()
-        np.minimum.at(new, root[u], low)
-        np.minimum.at(new, root[v], low)
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    yield pd.DataFrame({"v": nodes, "u": nodes[root]})[root != np.arange(len(nodes))]
-
-
-def components(pairs: DataFrame, rounds: int = 60, in_memory: int = 2_000_000) -> DataFrame:
+    def linked(parts):
+        pairs = pd.concat(parts)
+        nodes, at = np.unique(np.concatenate([pairs["u"].to_numpy(), pairs["v"].to_numpy()]), return_inverse=True)
+        u, v = at[: len(pairs)], at[len(pairs) :]
+        root = np.arange(len(nodes))
+        while True:
+            low = np.minimum(root[u], root[v])
+            new = root.copy()
+            np.minimum.at(new, root[u], low)
+            np.minimum.at(new, root[v], low)
+            while (new[new] != new).any():
+                new = new[new]
+            if (new == root).all():
+                return pd.DataFrame({"u": nodes[root], "v": nodes})[root != np.arange(len(nodes))]
+            root = new
+
+    parts = []
+    for batch in batches:
+        parts.append(batch)
+        if sum(map(len, parts)) > STRETCH:
+            yield linked(parts)
+            parts = []
+    if any(map(len, parts)):
+        yield linked(parts)
+
+
+def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over undirected pairs (a, b); nodes are bigints or texts.
 
-    Up to `in_memory` distinct pairs (counted) are joined by one task. Beyond that large-star and small-star rounds
-    alternate until nothing moves: every node is linked with the smallest in sight, so the number of rounds grows with the
-    logarithm of a component's size. Self pairs make single nodes components.
+    Each partition first reduces its pairs to a forest. Then large-star and small-star rounds alternate until nothing
+    moves: every node is linked with the smallest in sight, so the number of rounds grows with the logarithm of a
+    component's size. Self pairs make single nodes components.
     """
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = cut(pairs.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-    if links.count() <= in_memory:
-        kind = dict(links.dtypes)["u"]
-        found = cut(links.coalesce(1).mapInPandas(_join_in_memory, f"v {kind}, u {kind}"))
-        return nodes.join(found.select(F.col("v").alias("node"), F.col("u").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    ordered = pairs.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    kind = dict(ordered.dtypes)["u"]
+    links = cut(ordered.mapInPandas(_forest, f"u {kind}, v {kind}").distinct())
     seen = None
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))

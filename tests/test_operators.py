@@ -91,8 +91,8 @@ def test_graph(spark):
 
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 103)]
-    for in_memory in (1000, 0):  # by one task and by rounds
-        got = {r.node: r.component for r in G.components(spark.createDataFrame(pairs, "a long, b long"), in_memory=in_memory).collect()}
+    for parts in (1, 16):  # whole in one forest, and in pieces
+        got = {r.node: r.component for r in G.components(spark.createDataFrame(pairs, "a long, b long").repartition(parts)).collect()}
         assert all(got[i] == 0 for i in range(41)) and got[101] == 100 and got[103] == 103
     texts = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y")], "a string, b string")
     assert {r.node: r.component for r in G.components(texts).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
