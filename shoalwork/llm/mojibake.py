@@ -278,7 +278,7 @@ def fit(rows: DataFrame, fields: list[str], sample: int = SAMPLE) -> Classifier:
         both = both.unionByName(t)
     hashed = both.select("t", F.xxhash64("t").alias("h"))
     last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    words = F.regexp_extract_all("t", F.lit(r"([^ \t\r\n]*[^\x00-\x7F][^ \t\r\n]*)"), 1)
+    words = F.filter(F.split("t", "[ \t\r\n]"), lambda w: F.octet_length(w) > F.length(w))
     counted = hashed.distinct().select("h", F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("h") <= F.lit(last)).alias("drawn")).where(F.length("w") <= 200)
     found = counted.orderBy("w").collect()  # the distinct words beyond ASCII
     return Classifier.train(Counter({r["w"]: r["drawn"] for r in found if r["drawn"]}), corpus=Counter({r["w"]: r["n"] for r in found}))
