@@ -19,7 +19,6 @@ SCHEMA = {
     "sender_from_domain": ("sender", "email_domain"),
     "receiver_from_domain": ("receiver", "email_domain"),
 }
-STRETCH = 500_000  # pairs that are reduced to a forest at once
 COLLAPSIBLE = ("email_domain", "sender", "receiver", "url", "domain", "stem")
 
 
@@ -145,62 +144,29 @@ def undirected(edge: DataFrame) -> DataFrame:
     return edge.select("etype", "src", "dst").unionByName(edge.select(F.concat(F.lit("rev_"), "etype").alias("etype"), F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def _forest(batches):
-    """Of the pairs of each stretch of a partition, those that link every node with the smallest of its part."""
-    import numpy as np
-    import pandas as pd
-
-    def linked(parts):
-        pairs = pd.concat(parts)
-        nodes, at = np.unique(np.concatenate([pairs["u"].to_numpy(), pairs["v"].to_numpy()]), return_inverse=True)
-        u, v = at[: len(pairs)], at[len(pairs) :]
-        root = np.arange(len(nodes))
-        while True:
-            low = np.minimum(root[u], root[v])
-            new = root.copy()
-            np.minimum.at(new, root[u], low)
-            np.minimum.at(new, root[v], low)
-            while (new[new] != new).any():
-                new = new[new]
-            if (new == root).all():
-                return pd.DataFrame({"u": nodes[root], "v": nodes})[root != np.arange(len(nodes))]
-            root = new
-
-    parts = []
-    for batch in batches:
-        parts.append(batch)
-        if sum(map(len, parts)) > STRETCH:
-            yield linked(parts)
-            parts = []
-    if any(map(len, parts)):
-        yield linked(parts)
-
-
-def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node reachable over undirected pairs (a, b); nodes are bigints or texts.
 
-    Each partition first reduces its pairs to a forest. Then large-star and small-star rounds alternate until nothing
-    moves: every node is linked with the smallest in sight, so the number of rounds grows with the logarithm of a
-    component's size. Self pairs make single nodes components.
+    Randomised contraction: in each round every node joins the one of least hash among itself and its neighbours, and
+    pairs are redrawn between those. The hash is another one each round, so that a constant share of the nodes is expected
+    to vanish whatever the shape; the number of rounds grows with the logarithm of the size. Self pairs make single nodes
+    components. Nulls are no nodes.
     """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ordered = pairs.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-    kind = dict(ordered.dtypes)["u"]
-    links = cut(ordered.mapInPandas(_forest, f"u {kind}, v {kind}").distinct())
-    seen = None
-    for _ in range(rounds):
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
-        up = large.select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y"))
-        floor = up.groupBy("x").agg(F.min("y").alias("m"))
-        small = up.join(floor, "x").select(F.col("m").alias("u"), F.col("y").alias("v")).unionByName(floor.select(F.col("m").alias("u"), F.col("x").alias("v")))
-        links = cut(small.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        now = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == seen:
+    pairs = pairs.select("a", "b").where("a is not null and b is not null")
+    label = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("rep")))
+    links = cut(pairs.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    for turn in range(rounds):
+        if not links.limit(1).count():
             break
-        seen = now
-    return nodes.join(links.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("to"))
+        seen = links.select("u", order("v").alias("x")).unionByName(links.select(F.col("v").alias("u"), order("u").alias("x")))
+        joined = cut(seen.groupBy("u").agg(F.min("x").alias("x")).select("u", F.least("x", order("u")).getField("to").alias("to")))
+        label = cut(label.join(joined.withColumnRenamed("u", "rep"), "rep", "left").select("node", F.coalesce("to", "rep").alias("rep")))
+        left = links.join(joined.withColumnRenamed("to", "p"), "u").select("p", "v")
+        both = left.join(joined.select(F.col("u").alias("v"), F.col("to").alias("q")), "v").where("p <> q")
+        links = cut(both.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct())
+    smallest = label.groupBy("rep").agg(F.min("node").alias("component"))
+    return label.join(smallest, "rep").select("node", "component")
 
 
 def top_receiver(edge: DataFrame) -> DataFrame:
