@@ -270,16 +270,18 @@ def restore(text: str | None, model: Classifier) -> tuple[str | None, bool]:
 
 
 def fit(rows: DataFrame, fields: list[str], sample: int = SAMPLE) -> Classifier:
-    """The classifier of a corpus: vocabulary and letters from all distinct fields with characters beyond ASCII, bigrams from
-    at most `sample` of them, chosen by the hash of their text."""
+    """The classifier of a corpus: vocabulary and letters from all fields with characters beyond ASCII, bigrams from
+    at most `sample` different ones, chosen by the hash of their text. A word counts the fields that hold it; where these are
+    copies of one text, that is one."""
     texts = [rows.select(F.col(f).alias("t")).where(r"t rlike '[^\\x00-\\x7F]'") for f in fields]
     both = texts[0]
     for t in texts[1:]:
         both = both.unionByName(t)
     hashed = both.select("t", F.xxhash64("t").alias("h"))
     last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    words = F.filter(F.split("t", "[ \t\r\n]"), lambda w: F.octet_length(w) > F.length(w))
-    counted = hashed.distinct().select("h", F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("h") <= F.lit(last)).alias("drawn")).where(F.length("w") <= 200)
+    words = F.array_distinct(F.filter(F.split(F.translate("t", "\t\r\n", "   "), " "), lambda w: F.octet_length(w) > F.length(w)))
+    held = hashed.select("h", F.explode(words).alias("w")).where(F.length("w") <= 200).groupBy("w")
+    counted = held.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("h") <= F.lit(last)).alias("drawn"), F.min("h").alias("a"), F.max("h").alias("b")).select("w", F.when(F.col("a") == F.col("b"), 1).otherwise(F.col("all")).alias("n"), "drawn")
     found = counted.orderBy("w").collect()  # the distinct words beyond ASCII
     return Classifier.train(Counter({r["w"]: r["drawn"] for r in found if r["drawn"]}), corpus=Counter({r["w"]: r["n"] for r in found}))
 
