@@ -19,6 +19,7 @@ SCHEMA = {
     "sender_from_domain": ("sender", "email_domain"),
     "receiver_from_domain": ("receiver", "email_domain"),
 }
+LAST = 20_000  # pairs that one task joins in the end
 COLLAPSIBLE = ("email_domain", "sender", "receiver", "url", "domain", "stem")
 
 
@@ -144,19 +145,45 @@ def undirected(edge: DataFrame) -> DataFrame:
     return edge.select("etype", "src", "dst").unionByName(edge.select(F.concat(F.lit("rev_"), "etype").alias("etype"), F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
+def _roots(batches):
+    """(rep, to) of the nodes that are linked with a smaller one, over all pairs of one partition."""
+    import numpy as np
+    import pandas as pd
+
+    pairs = pd.concat([b for b in batches if len(b)] or [pd.DataFrame({"u": [], "v": []})])
+    if len(pairs):
+        nodes, at = np.unique(np.concatenate([pairs["u"].to_numpy(), pairs["v"].to_numpy()]), return_inverse=True)
+        u, v = at[: len(pairs)], at[len(pairs) :]
+        root = np.arange(len(nodes))
+        while True:
+            low = np.minimum(root[u], root[v])
+            new = root.copy()
+            np.minimum.at(new, root[u], low)
+            np.minimum.at(new, root[v], low)
+            while (new[new] != new).any():
+                new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        yield pd.DataFrame({"rep": nodes, "to": nodes[root]})
+
+
 def components(pairs: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node reachable over undirected pairs (a, b); nodes are bigints or texts.
 
     Randomised contraction: in each round every node joins the one of least hash among itself and its neighbours, and
     pairs are redrawn between those. The hash is another one each round, so that a constant share of the nodes is expected
-    to vanish whatever the shape; the number of rounds grows with the logarithm of the size. Self pairs make single nodes
-    components. Nulls are no nodes.
+    to vanish whatever the shape; the number of rounds grows with the logarithm of the size. The last LAST pairs are joined by one
+    task. Self pairs make single nodes components. Nulls are no nodes.
     """
     pairs = pairs.select("a", "b").where("a is not null and b is not null")
     label = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("rep")))
-    links = cut(pairs.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    links = cut(pairs.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+    kind = dict(links.dtypes)["u"]
     for turn in range(rounds):
-        if not links.limit(1).count():
+        if links.count() <= LAST:
+            joined = cut(links.coalesce(1).mapInPandas(_roots, f"rep {kind}, to {kind}"))
+            label = label.join(joined, "rep", "left").select("node", F.coalesce("to", "rep").alias("rep"))
             break
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("to"))
         seen = links.select("u", order("v").alias("x")).unionByName(links.select(F.col("v").alias("u"), order("u").alias("x")))
