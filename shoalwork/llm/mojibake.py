@@ -269,6 +269,28 @@ def restore(text: str | None, model: Classifier) -> tuple[str | None, bool]:
     return text, garbled
 
 
+def _words(last: int | None):
+    """(w, n, drawn, a, b): of each word of some fields how many hold it, how many of those have a hash up to `last`, and the least and greatest hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[str, list[int]] = {}
+            for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for w in marked_words(text):
+                    x = held.get(w)
+                    if x is None:
+                        held[w] = [1, int(h <= last), h, h]
+                    else:
+                        x[0] += 1
+                        x[1] += h <= last
+                        x[2], x[3] = min(x[2], h), max(x[3], h)
+            rows = [(w, *x) for w, x in held.items() if len(w) <= 200]
+            columns = zip(*rows) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(columns)], names=["w", "n", "drawn", "a", "b"])
+
+    return run
+
+
 def fit(rows: DataFrame, fields: list[str], sample: int = SAMPLE) -> Classifier:
     """The classifier of a corpus: vocabulary and letters from all fields with characters beyond ASCII, bigrams from
     at most `sample` different ones, chosen by the hash of their text. A word counts the fields that hold it; where these are
@@ -279,9 +301,8 @@ def fit(rows: DataFrame, fields: list[str], sample: int = SAMPLE) -> Classifier:
         both = both.unionByName(t)
     hashed = both.select("t", F.xxhash64("t").alias("h"))
     last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    words = F.array_distinct(F.filter(F.split(F.translate("t", "\t\r\n", "   "), " "), lambda w: F.octet_length(w) > F.length(w)))
-    held = hashed.select("h", F.explode(words).alias("w")).where(F.length("w") <= 200).groupBy("w")
-    counted = held.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("h") <= F.lit(last)).alias("drawn"), F.min("h").alias("a"), F.max("h").alias("b")).select("w", F.when(F.col("a") == F.col("b"), 1).otherwise(F.col("all")).alias("n"), "drawn")
+    held = hashed.mapInArrow(_words(last), "w string, n bigint, drawn bigint, a bigint, b bigint").groupBy("w")
+    counted = held.agg(F.sum("n").alias("all"), F.sum("drawn").alias("drawn"), F.min("a").alias("a"), F.max("b").alias("b")).select("w", F.when(F.col("a") == F.col("b"), 1).otherwise(F.col("all")).alias("n"), "drawn")
     found = counted.orderBy("w").collect()  # the distinct words beyond ASCII
     return Classifier.train(Counter({r["w"]: r["drawn"] for r in found if r["drawn"]}), corpus=Counter({r["w"]: r["n"] for r in found}))
 
