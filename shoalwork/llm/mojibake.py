@@ -112,7 +112,8 @@ def structured(chain: tuple[Step, ...]) -> bool:
 
 def marked_words(text: str) -> list[str]:
     """The distinct words with characters beyond ASCII, in order; the same that WORD finds."""
-    return [w for w in dict.fromkeys(text.replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ")) if not w.isascii()]
+    words = text.replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ")
+    return list(dict.fromkeys([w for w in words if not w.isascii()]))
 
 
 def beyond_ascii(word: str) -> list[str]:
