@@ -146,7 +146,7 @@ def undirected(edge: DataFrame) -> DataFrame:
 
 
 def _roots(batches):
-    """(rep, to) of the nodes that are linked with a smaller one, over all pairs of one partition."""
+    """(u, to) of the nodes that are linked with a smaller one, over all pairs of one partition."""
     import numpy as np
     import pandas as pd
 
@@ -165,7 +165,7 @@ def _roots(batches):
             if (new == root).all():
                 break
             root = new
-        yield pd.DataFrame({"rep": nodes, "to": nodes[root]})
+        yield pd.DataFrame({"u": nodes, "to": nodes[root]})
 
 
 def components(pairs: DataFrame, rounds: int = 100) -> DataFrame:
@@ -177,23 +177,29 @@ def components(pairs: DataFrame, rounds: int = 100) -> DataFrame:
     task. Self pairs make single nodes components. Nulls are no nodes.
     """
     pairs = pairs.select("a", "b").where("a is not null and b is not null")
-    label = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("rep")))
+    alone = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
     links = cut(pairs.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
-    kind = dict(links.dtypes)["u"]
+    kind, label = dict(links.dtypes)["u"], None
     for turn in range(rounds):
-        if links.count() <= LAST:
-            joined = cut(links.coalesce(1).mapInPandas(_roots, f"rep {kind}, to {kind}"))
-            label = label.join(joined, "rep", "left").select("node", F.coalesce("to", "rep").alias("rep"))
+        last = links.count() <= LAST
+        if last:
+            joined = cut(links.coalesce(1).mapInPandas(_roots, f"u {kind}, to {kind}"))
+        else:
+            order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("to"))
+            seen = links.select("u", order("v").alias("x")).unionByName(links.select(F.col("v").alias("u"), order("u").alias("x")))
+            joined = cut(seen.groupBy("u").agg(F.min("x").alias("x")).select("u", F.least("x", order("u")).getField("to").alias("to")))
+        if label is None:
+            label = joined.select(F.col("u").alias("node"), F.col("to").alias("rep"))
+        else:
+            label = label.join(joined.withColumnRenamed("u", "rep"), "rep", "left").select("node", F.coalesce("to", "rep").alias("rep"))
+        if last:
             break
-        order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("to"))
-        seen = links.select("u", order("v").alias("x")).unionByName(links.select(F.col("v").alias("u"), order("u").alias("x")))
-        joined = cut(seen.groupBy("u").agg(F.min("x").alias("x")).select("u", F.least("x", order("u")).getField("to").alias("to")))
-        label = cut(label.join(joined.withColumnRenamed("u", "rep"), "rep", "left").select("node", F.coalesce("to", "rep").alias("rep")))
         left = links.join(joined.withColumnRenamed("to", "p"), "u").select("p", "v")
         both = left.join(joined.select(F.col("u").alias("v"), F.col("to").alias("q")), "v").where("p <> q")
         links = cut(both.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct())
+    label = cut(label)
     smallest = label.groupBy("rep").agg(F.min("node").alias("component"))
-    return label.join(smallest, "rep").select("node", "component")
+    return label.join(smallest, "rep").select("node", "component").unionByName(alone.join(label, "node", "left_anti").select("node", F.col("node").alias("component")))
 
 
 def top_receiver(edge: DataFrame) -> DataFrame:
