@@ -296,7 +296,7 @@ def fit(rows: DataFrame, fields: list[str], sample: int = SAMPLE) -> Classifier:
     """The classifier of a corpus: vocabulary and letters from all fields with characters beyond ASCII, bigrams from
     at most `sample` different ones, chosen by the hash of their text. A word counts the fields that hold it; where these are
     copies of one text, that is one."""
-    texts = [rows.select(F.col(f).alias("t")).where(r"t rlike '[^\\x00-\\x7F]'") for f in fields]
+    texts = [rows.select(F.col(f).alias("t")).where("octet_length(t) > length(t)") for f in fields]
     both = texts[0]
     for t in texts[1:]:
         both = both.unionByName(t)
@@ -340,7 +340,7 @@ def garbled_fields(rows: DataFrame, key: str = "email_index", fields: list[str]
     fields = list(fields)
     model = fit(rows, fields)
     kind = dict(rows.dtypes)[key]
-    some = F.coalesce(*(F.when(F.col(f).rlike(r"[^\x00-\x7F]"), F.lit(True)) for f in fields), F.lit(False))
+    some = F.coalesce(*(F.when(F.octet_length(f) > F.length(f), F.lit(True)) for f in fields), F.lit(False))
     found = rows.where(some).select(F.col(key).alias("k"), *fields).mapInArrow(_over((model.log_p, model.log_share, model.vocabulary, model.raw, model.letters, model.own), len(fields), True), f"k {kind}, {', '.join(f'f{i + 1} string' for i in range(len(fields)))}")
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"f{i + 1}").alias("m")) for i, f in enumerate(fields)))).alias("x")
     return found.select(F.col("k").alias(key), pairs).select(key, F.col("x.field").alias("field"), F.col("x.m").alias("restored_md5")).where("restored_md5 is not null")
