@@ -24,6 +24,7 @@ MARGIN = 4.0  # nats that speak for a single-byte chain at least
 LOST = "�"
 WORD = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
 
+_BEYOND = re.compile(r"[^\x00-\x7f]+")
 _ASCII = re.compile(r"[\x00-\x7f]+")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -112,8 +113,13 @@ def structured(chain: tuple[Step, ...]) -> bool:
 
 def marked_words(text: str) -> list[str]:
     """The distinct words with characters beyond ASCII, in order; the same that WORD finds."""
-    words = text.replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ")
-    return list(dict.fromkeys([w for w in words if not w.isascii()]))
+    flat, out, end = text.replace("\t", " ").replace("\r", " ").replace("\n", " "), {}, -1
+    for m in _BEYOND.finditer(flat):
+        if m.start() > end:
+            end = flat.find(" ", m.end())
+            end = end if end >= 0 else len(flat)
+            out[flat[flat.rfind(" ", 0, m.start()) + 1 : end]] = None
+    return list(out)
 
 
 def beyond_ascii(word: str) -> list[str]:
@@ -248,7 +254,8 @@ def restore(text: str | None, model: Classifier) -> tuple[str | None, bool]:
     garbled = LOST in text
     for turn in range(3):
         plain = [w for w in marked_words(text) if LOST not in w]
-        if all(model.count(w) > model.own for w in plain):
+        counts, own = model.counts, model.own
+        if all((n if (n := counts.get(w)) is not None else model.count(w)) > own for w in plain):
             break
         gain = model.table(plain)
         gain = gain[:, 1:] - gain[:, :1]
