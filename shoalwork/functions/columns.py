@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from email.utils import parsedate_to_datetime
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values that results depend on.
 FREEMAIL = ("gmail.com", "googlemail.com", "yahoo.com", "yahoo.co.uk", "outlook.com", "hotmail.com", "live.com", "aol.com", "icloud.com", "proton.me", "protonmail.com", "gmx.com", "yandex.com")
 SHORTENERS = ("bit.ly", "tinyurl.com", "short.link", "ow.ly", "goo.gl")
 GREETINGS = ("good morning", "good afternoon", "good evening", "dearest", "greetings", "hello", "hi", "hey", "dear")
+SPACE = r"[\t\n\x0B\f\r\x1C-\x20\x85\p{Z}]"  # white space in any script
+BREAKS = r"\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029"  # signs that end a line
 ADDRESS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 LINK = r"""(?i)(?:https?://|www\.)[^\s'"<>]+"""
 
@@ -119,13 +125,26 @@ def week_key(t: Column) -> Column:
     return F.format_string("%d-W%02d", F.extract(F.lit("YEAROFWEEK"), t).cast("int"), F.weekofyear(t))
 
 
+@F.pandas_udf(StringType())
+def mail_time(dates: pd.Series) -> pd.Series:
+    """Date and time as written (yyyy-MM-dd HH:mm:ss) of a mail's date header, read as leniently as mail programs do; null where it cannot be."""
+
+    def read(d):
+        try:
+            return parsedate_to_datetime(d).strftime("%Y-%m-%d %H:%M:%S")
+        except Exception:  # whatever the parser meets in junk
+            return None
+
+    return dates.map(read)
+
+
 def greeting(body: Column) -> Column:
     """The greeting that a text starts with and what follows it: email, name, username, other or nothing."""
-    first = F.trim(F.regexp_extract(F.regexp_replace(text(body), r"^\s+", ""), r"^([^\r\n]*)", 1))
-    start = rf"(?i)^({'|'.join(GREETINGS)})\b[,\s:!-]*([^\n,!?]*)"
-    token, follow = F.lower(F.regexp_extract(first, start, 1)), F.trim(F.regexp_extract(first, start, 2))
-    word = F.regexp_extract(follow, r"""([^\s,;:()<>"']+)""", 1)
-    kind = F.when(follow == "", "").when(follow.rlike(r"[\w.-]+@[\w.-]+\.\w+"), ", email").when(word.rlike(r"^[A-Z][a-z'-]+$"), ", name").when(word.rlike(r"^[\w.-]{2,}$"), ", username").otherwise(", other")
+    first = F.regexp_replace(F.regexp_extract(F.regexp_replace(text(body), rf"^{SPACE}+", ""), rf"^([^{BREAKS}]*)", 1), rf"{SPACE}+$", "")
+    start = rf"(?iuU)^({'|'.join(GREETINGS)})\b[,\s:!-]*([^\n,!?]*)"
+    token, follow = F.lower(F.regexp_extract(first, start, 1)), F.regexp_replace(F.regexp_extract(first, start, 2), rf"{SPACE}+$", "")
+    word = F.regexp_extract(follow, r"""(?U)([^\s,;:()<>"']+)""", 1)
+    kind = F.when(follow == "", "").when(follow.rlike(r"(?U)[\w.-]+@[\w.-]+\.\w+"), ", email").when(word.rlike(r"^[A-Z][a-z'-]+$"), ", name").when(word.rlike(r"(?U)^[\w.-]{2,}$"), ", username").otherwise(", other")
     return F.when(token == "", F.lit("")).otherwise(F.concat(token, kind))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shoalwork.functions import columns as C
 
+# Fixed values that results depend on: names of columns and contents of the feature sets.
 TIME = ("day", "month", "year", "weekday", "workday", "date_sent", "time_sent")
 SUBJECT = ("subject_length", "subject_whitespace_count", "subject", "subject_avg_idf", "subject_max_idf", "subject_n_terms")
 BODY = ("num_urls", "has_urls", "body_word_count", "num_lines", "avg_word_length", "greeting", "body")
@@ -28,7 +29,7 @@ FEATURE_SETS = {
 
 def terms(c):
     """Lower-case parts between white space."""
-    return F.filter(F.split(F.lower(C.text(c)), r"\s+"), lambda x: x != "")
+    return F.filter(F.split(F.lower(C.text(c)), rf"{C.SPACE}+"), lambda x: x != "")
 
 
 def idf_lookup(idf: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def subject_idf(raw: DataFrame, idf: DataFrame) -> DataFrame:
 
 def features(raw: DataFrame, idf: DataFrame) -> DataFrame:
     """All feature columns of each mail in one wide plan; a feature set is a projection of it."""
-    when, body, subject = C.local_time(F.col("date")), C.text(F.col("body")), C.text(F.col("subject"))
+    when, body, subject = F.col("_when"), C.text(F.col("body")), C.text(F.col("subject"))
     words = F.regexp_extract_all(F.lower(body), F.lit(r"([\p{L}\p{N}_]+)"), 1)
     total = F.aggregate(F.transform(words, lambda w: F.length(w)), F.lit(0), lambda a, x: a + x)
     lines = F.when(body == "", 0).otherwise(F.size(F.split(F.regexp_replace(body, r"(\r\n|\n|\r)$", ""), r"\r\n|\n|\r")))
@@ -54,13 +55,14 @@ def features(raw: DataFrame, idf: DataFrame) -> DataFrame:
     columns = {
         "day": F.dayofmonth(when).cast("bigint"), "month": F.month(when).cast("bigint"), "year": F.year(when).cast("bigint"), "weekday": F.date_format(when, "EEEE"),
         "workday": (F.weekday(when) < 5).cast("bigint"), "date_sent": F.date_format(when, "yyyy-MM-dd"), "time_sent": F.date_format(when, "HH:mm:ss"),
-        "subject_length": F.length(subject).cast("bigint"), "subject_whitespace_count": F.regexp_count(subject, F.lit(r"\s")).cast("bigint"), "subject": subject,
+        "subject_length": F.length(subject).cast("bigint"), "subject_whitespace_count": F.regexp_count(subject, F.lit(C.SPACE)).cast("bigint"), "subject": subject,
         "has_urls": (F.size(found) > 0).cast("bigint"), "body_word_count": F.size(words).cast("bigint"), "num_lines": lines.cast("bigint"),
         "avg_word_length": F.when(F.size(words) > 0, F.round(total / F.size(words), 1)).otherwise(0.0), "greeting": C.greeting(F.col("body")), "body": body,
         "sender_name": sender[0], "sender_email": sender[1], "recipient_name": receiver[0], "recipient_email": receiver[1],
         **C.link_features(F.col("urls")),
     }
-    wide = raw.select("email_index", *(c.alias(n) for n, c in columns.items()))
+    timed = raw.withColumn("_when", F.try_to_timestamp(C.mail_time("date"), F.lit("yyyy-MM-dd HH:mm:ss")))
+    wide = timed.select("email_index", *(c.alias(n) for n, c in columns.items()))
     return wide.join(subject_idf(raw, idf), "email_index")
 
 

@@ -120,18 +120,62 @@ def connectivity(edge: DataFrame, nodes: DataFrame, least: int = 2) -> DataFrame
     return seen.join(F.broadcast(totals), "ntype").select("etype", "side", "ntype", "nodes", pct(F.col("nodes") - F.col("some")).alias("deg0_pct"), pct(F.col("one")).alias("deg1_pct"), pct(F.col("many")).alias("many_pct"))
 
 
+def _side(side: int):
+    """The node type at the source (0) or target (1) of an edge."""
+    return F.element_at(F.create_map(*[x for k, v in SCHEMA.items() for x in (F.lit(k), F.lit(v[side]))]), F.col("etype"))
+
+
 def collapse_single(edge: DataFrame, kinds=COLLAPSIBLE) -> tuple[DataFrame, DataFrame]:
-    """(kept edges, collapsed nodes (ntype, key, email)): nodes of degree 1 whose one edge goes to a mail fold into it.
+    """(kept edges, collapsed nodes (ntype, key, ptype, parent)): nodes of degree 1 fold into the node that points to them.
 
-    One pass reaches the fixpoint: removing an entity never changes the degree of another kind of entity.
+    Domains of addresses fold into their sender or receiver first, which may bring these down to degree 1; then senders,
+    receivers, links, hosts and paths fold into their mail. Two steps reach the fixpoint: a sender or receiver has a mail
+    edge, so it has degree 1 only when none of its domain edges is left, and its removal changes no domain.
     """
-    single = degrees(edge).where((F.col("degree") == 1) & F.col("ntype").isin(*kinds)).select("ntype", "key")
-    target = F.element_at(F.create_map(*[x for k, v in SCHEMA.items() for x in (F.lit(k), F.lit(v[1]))]), F.col("etype"))
-    from_mail = edge.where(~F.col("etype").endswith("from_domain")).withColumn("ntype", target)
-    folded = from_mail.join(single.withColumnRenamed("key", "dst"), ["ntype", "dst"], "left_semi")
-    collapsed = folded.select("ntype", F.col("dst").alias("key"), "email_index")
-    kept = edge.withColumn("ntype", target).join(collapsed.select("ntype", F.col("key").alias("dst")), ["ntype", "dst"], "left_anti").drop("ntype")
-    return kept, collapsed
+    kept, parts = edge, []
+    for step in (("email_domain",), ("sender", "receiver", "url", "domain", "stem")):
+        single = degrees(kept).where((F.col("degree") == 1) & F.col("ntype").isin(*(k for k in step if k in kinds))).select("ntype", F.col("key").alias("dst"))
+        typed = kept.withColumn("ntype", _side(1))
+        parts.append(typed.join(single, ["ntype", "dst"], "left_semi").select("ntype", F.col("dst").alias("key"), _side(0).alias("ptype"), F.col("src").alias("parent")))
+        kept = typed.join(single, ["ntype", "dst"], "left_anti").select(*edge.columns)
+    return kept, parts[0].unionByName(parts[1])
+
+
+def collapsed_sums(collapsed: DataFrame) -> DataFrame:
+    """(email, sender_len, sender_domain_len, receiver_len, receiver_domain_len, url_n, domain_n, stem_len): the summed
+    vectors that each mail takes over from the nodes folded into it, those of their own folded domains included."""
+    length = F.length("key").cast("double")
+    inner = collapsed.where("ntype = 'email_domain'").groupBy(F.col("ptype").alias("ntype"), F.col("parent").alias("key")).agg(F.sum(length).alias("inner"))
+    own = collapsed.where("ptype = 'email'").join(inner, ["ntype", "key"], "left")
+    of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("ntype") == kind, value)), F.lit(0.0))
+    one = F.lit(1.0)
+    return own.groupBy(F.col("parent").alias("email")).agg(
+        of("sender", length).alias("sender_len"), of("sender", F.col("inner")).alias("sender_domain_len"), of("receiver", length).alias("receiver_len"),
+        of("receiver", F.col("inner")).alias("receiver_domain_len"), of("url", one).alias("url_n"), of("domain", one).alias("domain_n"), of("stem", length).alias("stem_len"),
+    )
+
+
+def merged(nodes: DataFrame, edge: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, counts): rows as a property graph merges them.
+
+    Nodes (ntype, key, ...) are merged by all their properties, edges (etype, src, dst) become a set and those without
+    both ends are dropped. counts: (kind, name, rows) of what was handed over, before merging.
+    """
+    once = nodes.dropDuplicates()
+    keys = once.select("ntype", "key").distinct()
+    ends = edge.select("etype", "src", "dst").distinct().withColumn("st", _side(0)).withColumn("dt", _side(1))
+    held = ends.join(keys.toDF("st", "src"), ["st", "src"], "left_semi").join(keys.toDF("dt", "dst"), ["dt", "dst"], "left_semi")
+    counts = nodes.groupBy(F.col("ntype").alias("name")).count().select(F.lit("node").alias("kind"), "name", F.col("count").alias("rows"))
+    return once, held.select("etype", "src", "dst"), counts.unionByName(edge.groupBy(F.col("etype").alias("name")).count().select(F.lit("edge").alias("kind"), "name", F.col("count").alias("rows")))
+
+
+def indexed_edges(edge: DataFrame, index: DataFrame) -> DataFrame:
+    """(etype, src, dst): edges by the dense numbers of their nodes; a mail's number is its own index. index: (ntype, key, idx)."""
+    typed = edge.select("etype", F.col("src").alias("sk"), F.col("dst").alias("dk"), _side(0).alias("st"), _side(1).alias("dt"))
+    targets = index.select(F.col("ntype").alias("dt"), F.col("key").alias("dk"), F.col("idx").alias("dst"))
+    sources = index.select(F.col("ntype").alias("st"), F.col("key").alias("sk"), F.col("idx").alias("si"))
+    both = typed.join(targets, ["dt", "dk"]).join(sources, ["st", "sk"], "left")
+    return both.select("etype", F.when(F.col("st") == "email", F.col("sk").cast("bigint")).otherwise(F.col("si")).alias("src"), "dst")
 
 
 def without_types(edge: DataFrame, kinds) -> DataFrame:

@@ -80,11 +80,18 @@ def zone_intervals(zones: DataFrame, first_year: int = 1970, last_year: int = 20
     return zones.select("tz").distinct().mapInPandas(run, "tz string, year int, from_us bigint, to_us bigint, offset_us bigint")
 
 
+PARTS = ("shape", "y", "mo", "d", "h", "mi", "s", "frac", "half", "zone")
+
+
 def _parts(text: Column) -> Column:
-    """Struct of the parts of a date text: shape, the groups as text, all null where no shape matches."""
-    names = ("y", "mo", "d", "h", "mi", "s", "frac", "half", "zone")
-    shapes = [F.when(text.rlike(pattern), F.struct(F.lit(shape).alias("shape"), *(F.regexp_extract(text, pattern, g).alias(n) for n, g in zip(names, groups)))) for shape, (pattern, groups) in SHAPES.items()]
-    return F.coalesce(*shapes)
+    """Array of the parts of a date text (PARTS), null where no shape matches; each shape is taken apart by one replacement."""
+    canon = [F.when(text.rlike(pattern), F.regexp_replace(text, pattern, "\x01".join([shape, *(f"${g}" for g in groups)]))) for shape, (pattern, groups) in SHAPES.items()]
+    return F.split(F.coalesce(*canon), "\x01", len(PARTS))
+
+
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with more columns that are computed once: a one-row generator, which neither filters nor projections are moved through."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
 def _local_micros(y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Column, us: Column) -> Column:
@@ -118,9 +125,9 @@ def instants(rows: DataFrame, relays: DataFrame, abbreviations: DataFrame, key:
         inside = (whole >= F.lit(low * 10**power).cast("decimal(20,0)")) & (whole < F.lit(high * 10**power).cast("decimal(20,0)"))
         full = (F.concat(whole.cast("string"), F.rpad(frac, 9, "0"))).cast("decimal(38,0)")  # nine digits more than the unit
         units.append(F.when(inside, F.floor(full * F.lit(10**6).cast("decimal(7,0)") / F.lit(10 ** (power + 9)).cast("decimal(19,0)")).cast("long")))
-    base = base.select("_key", "_relay", F.when(number, F.coalesce(*units)).alias("_unix"), F.when(~number, _parts(F.col("_t"))).alias("_p"))
+    base = _once(base, {"_unix": F.when(number, F.coalesce(*units)), "_p": F.when(~number, _parts(F.col("_t")))}).drop("_t")
 
-    p = lambda n: F.col(f"_p.{n}")
+    p = lambda n: F.col("_p")[PARTS.index(n)]
     dated = small_side_join(base.where("_p is not null or _unix is not null"), zones, ["_relay"], "left")
     month = F.when(p("mo").rlike("^[a-z]"), F.array_position(F.array(*map(F.lit, MONTHS)), p("mo"))).otherwise(p("mo").try_cast("int")).cast("int")
     month_first = F.col("_order") == "mdy"
@@ -133,11 +140,13 @@ def instants(rows: DataFrame, relays: DataFrame, abbreviations: DataFrame, key:
     zero = lambda c: F.coalesce(c.try_cast("int"), F.lit(0))
     us = F.substring(F.rpad(p("frac"), 9, "0"), 1, 6).cast("long")
     zone = F.trim(p("zone"))
-    offset = F.when(zone.rlike(_OFFSET), F.struct(F.regexp_extract(zone, _OFFSET, 1).alias("sign"), F.regexp_extract(zone, _OFFSET, 2).cast("int").alias("h"), zero(F.regexp_extract(zone, _OFFSET, 3)).alias("m")))
-    timed = dated.select(
-        "_key", "_tz", "_unix", zone.alias("_zone"), offset.alias("_off"), F.regexp_extract(zone, _ABBREVIATION, 1).alias("_abbrev"),
-        F.when(known_order, _local_micros(year, F.when(swap, day).otherwise(month), F.when(swap, month).otherwise(day), hour, p("mi").try_cast("int"), zero(p("s")), us)).alias("_local"),
-    )
+    sign, hours, minutes = (F.regexp_extract("_zone", _OFFSET, i) for i in (1, 2, 3))
+    offset = F.when(F.col("_zone").rlike(_OFFSET), F.struct(sign.alias("sign"), hours.cast("int").alias("h"), zero(minutes).alias("m")))
+    timed = _once(dated, {"_zone": zone, "_us": us, "_y": year, "_m": month, "_d": day, "_h": hour, "_mi": p("mi").try_cast("int"), "_s": zero(p("s")), "_swap": swap, "_ok": known_order})
+    timed = _once(timed, {
+        "_off": offset, "_abbrev": F.regexp_extract("_zone", _ABBREVIATION, 1),
+        "_local": F.when(F.col("_ok"), _local_micros(F.col("_y"), F.when(F.col("_swap"), F.col("_d")).otherwise(F.col("_m")), F.when(F.col("_swap"), F.col("_m")).otherwise(F.col("_d")), *map(F.col, ("_h", "_mi", "_s", "_us")))),
+    })
     timed = timed.where("_local is not null or _unix is not null").select(
         "_key", "_unix", "_local", "_abbrev",
         F.when(F.col("_zone") == "", F.col("_tz")).alias("_tz"),

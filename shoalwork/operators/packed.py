@@ -35,6 +35,12 @@ def _edges(run: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _with_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = [(key, row, at, *e) for key, row, at, piece in zip(batch["_key"], batch["_row"], batch["_at"], batch["_piece"]) for e in _edges(piece)]
+        yield pd.DataFrame(out, columns=["_key", "_row", "_at", "i", "j", "_v"])
+
+
 def _log_value(value: int, count: float, total: float, unseen: float, length_share: dict[int, float]) -> float:
     """Log probability of a value: its count, and of the mass of unseen values (Good-Turing) what its number of digits gets."""
     digits = len(str(value))
@@ -65,8 +71,7 @@ def split_packed(rows: DataFrame, key: str = "campaign_label", text: str = "emai
     fixed = sure.groupBy("_v").agg(F.count(F.lit(1)).cast("double").alias("_c"))
     doubtful = cut(doubtful)
     if doubtful.limit(1).count():
-        edges = F.udf(_edges, "array<struct<i:int,j:int,v:bigint>>")
-        lattice = doubtful.withColumn("_e", F.explode(edges("_piece"))).select("_key", "_row", "_at", "_piece", "_e.i", "_e.j", F.col("_e.v").alias("_v"))
+        lattice = cut(doubtful.mapInPandas(_with_edges, "_key string, _row bigint, _at int, i int, j int, _v bigint"))
         fixed = counts = cut(fixed)
         outside = F.regexp_replace("_text", r"""("[^"]*"|'[^']*')""", " ")
         commas = rows.select(F.col(text).alias("_text")).agg(F.coalesce(F.sum(F.regexp_count(outside, F.lit(","))), F.lit(0)).alias("n")).first()["n"]
@@ -77,15 +82,15 @@ def split_packed(rows: DataFrame, key: str = "campaign_label", text: str = "emai
             total = sum(r["c"] for r in share) or 1.0
             unseen = min(max(sum(r["once"] for r in share) / total, 0.05), 0.95)
             lengths = {r["d"]: r["c"] / total for r in share}
-            scored = lattice.join(counts, "_v", "left").groupBy("_key", "_row", "_at", "_piece").agg(F.collect_list(F.struct("i", "j", "_v", F.coalesce("_c", F.lit(0.0)).alias("c"))).alias("_edges"))
+            scored = lattice.join(counts, "_v", "left").groupBy("_key", "_row", "_at").agg(F.collect_list(F.struct("i", "j", "_v", F.coalesce("_c", F.lit(0.0)).alias("c"))).alias("_edges"))
             last = step == rounds
-            resolved = scored.mapInPandas(_lattices(total, unseen, lengths, join, best=last), "_key string, _row bigint, _at int, i int, j int, _v bigint, w double")
+            resolved = cut(scored.mapInPandas(_lattices(total, unseen, lengths, join, best=last), "_key string, _row bigint, _at int, i int, j int, _v bigint, w double"))
             if not last:
                 learned = resolved.groupBy("_v").agg(F.sum("w").alias("_c"))
                 sums = resolved.agg(F.sum(F.col("w") * (F.col("j") - F.col("i") - 1)).alias("joins"), F.sum("w").alias("values"), F.countDistinct("_row", "_at").alias("runs")).first()
                 join = (sums["joins"] + 1e-3) / (sums["joins"] + sums["values"] - sums["runs"] + apart + 1.0)
                 join = min(max(join, 1e-6), 1 - 1e-6)
-                counts = fixed.unionByName(learned).groupBy("_v").agg(F.sum("_c").alias("_c"))
+                counts = cut(fixed.unionByName(learned).groupBy("_v").agg(F.sum("_c").alias("_c")))
         resolved = resolved.select("_key", "_row", "_at", F.col("i").alias("_sub"), "_v")
         sure = sure.unionByName(resolved)
     ordered = sure.groupBy("_row", "_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_sub", "_v"))).alias("_all"))  # a field's own values

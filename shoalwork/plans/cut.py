@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the checkpoint folder that the session names; set one only where none is named (tests, local runs)."""
+    """Keep the checkpoint folder that the session names; set one only where none is named and all run on this machine (tests, local runs)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="shoalwork-ckpt-"))
 
 

@@ -178,7 +178,28 @@ def mail_times(spark, folder):
 _WIDE_TIME = "CAST(day(lt) AS BIGINT) AS day, CAST(month(lt) AS BIGINT) AS month, CAST(year(lt) AS BIGINT) AS year, dayname(lt) AS weekday, CAST(isodow(lt) < 6 AS BIGINT) AS workday, strftime(lt, '%Y-%m-%d') AS date_sent, strftime(lt, '%H:%M:%S') AS time_sent"
 
 
-@query(f"WITH {MAILS} SELECT email_index, {_WIDE_TIME} FROM m")
+_DAYS = "'mon', 'tue', 'wed', 'thu', 'fri', 'sat', 'sun'"
+_MONTHS = "['january', 'february', 'march', 'april', 'may', 'june', 'july', 'august', 'september', 'october', 'november', 'december']"
+_MON = f"coalesce(list_position(list_transform({_MONTHS}, lambda x: x[1:3]), {{0}}), list_position({_MONTHS}, {{0}}))"
+#: The date header taken apart by words, as mail programs do: an optional weekday, day, month, year, clock and zone, some of them in either order.
+_DATED = rf"""w0 AS (SELECT email_index, regexp_extract_all(coalesce(date, ''), '[^\s\p{{Z}}]+') AS w FROM trec07_misp),
+w1 AS (SELECT email_index, CASE WHEN len(w) = 0 THEN w WHEN ends_with(w[1], ',') OR lower(w[1]) IN ({_DAYS}) THEN w[2:] WHEN contains(w[1], ',') THEN list_prepend(regexp_replace(w[1], '^.*,', ''), w[2:]) ELSE w END AS w FROM w0),
+w2 AS (SELECT email_index, CASE WHEN len(w) = 3 AND len(string_split(w[1], '-')) = 3 THEN string_split(w[1], '-') || w[2:] ELSE w END AS w FROM w1),
+w3 AS (SELECT email_index, w, CASE WHEN len(w) = 4 THEN CASE WHEN contains(w[4], '+') THEN instr(w[4], '+') ELSE instr(w[4], '-') END ELSE 0 END AS i FROM w2),
+w4 AS (SELECT email_index, CASE WHEN len(w) = 4 AND i > 1 THEN w[1:3] || [w[4][1:i-1], w[4][i:]] WHEN len(w) = 4 THEN w || [''] ELSE w END AS w FROM w3),
+w5 AS (SELECT email_index, w[1] AS dd, lower(w[2]) AS mm, w[3] AS yy, w[4] AS tm, w[5] AS tz FROM w4 WHERE len(w) >= 5),
+w6 AS (SELECT email_index, CASE WHEN {_MON.format('mm')} IS NULL THEN mm ELSE dd END AS dd, coalesce({_MON.format('mm')}, {_MON.format('lower(dd)')}) AS mo, yy, tm, tz FROM w5),
+w7 AS (SELECT email_index, regexp_replace(dd, ',$', '') AS dd, mo, CASE WHEN instr(yy, ':') > 1 THEN tm ELSE yy END AS yy, CASE WHEN instr(yy, ':') > 1 THEN yy ELSE tm END AS tm, tz FROM w6 WHERE mo IS NOT NULL),
+w8 AS (SELECT email_index, dd, mo, regexp_replace(yy, ',$', '') AS yy, tm, tz FROM w7),
+w9 AS (SELECT email_index, dd, mo, CASE WHEN regexp_matches(yy, '^\d') THEN yy ELSE tz END AS yy, regexp_replace(tm, ',$', '') AS tm, CASE WHEN regexp_matches(yy, '^\d') THEN tz ELSE yy END AS tz FROM w8 WHERE yy <> ''),
+wa AS (SELECT email_index, dd, mo, yy, tz, CASE WHEN contains(tm, ':') THEN string_split(tm, ':') ELSE string_split(tm, '.') END AS c FROM w9),
+wb AS (SELECT email_index, mo, TRY_CAST(dd AS INT) AS dd, TRY_CAST(yy AS INT) + CASE WHEN TRY_CAST(yy AS INT) >= 100 THEN 0 WHEN TRY_CAST(yy AS INT) > 68 THEN 1900 ELSE 2000 END AS yy, TRY_CAST(c[1] AS INT) AS hh, TRY_CAST(c[2] AS INT) AS mi, TRY_CAST(coalesce(c[3], '0') AS INT) AS ss, tz FROM wa
+  WHERE len(c) IN (2, 3) AND regexp_matches(dd, '^\d{{1,6}}$') AND regexp_matches(yy, '^\d{{1,6}}$') AND regexp_matches(c[1], '^\d{{1,6}}$') AND regexp_matches(c[2], '^\d{{1,6}}$') AND regexp_matches(coalesce(c[3], '0'), '^\d{{1,6}}$')),
+lt AS (SELECT email_index, try_strptime(printf('%04d-%02d-%02d %02d:%02d:%02d', yy, mo, dd, hh, mi, ss), '%Y-%m-%d %H:%M:%S') AS lt FROM wb
+  WHERE hh < 24 AND mi < 60 AND ss < 60 AND yy <= 9999 AND NOT (regexp_matches(tz, '^[+-]?\d{{1,9}}$') AND (abs(TRY_CAST(tz AS INT)) // 100) * 3600 + (abs(TRY_CAST(tz AS INT)) % 100) * 60 >= 86400))"""
+
+
+@query(f"WITH {_DATED} SELECT t.email_index, {_WIDE_TIME} FROM trec07_misp t LEFT JOIN lt USING (email_index)")
 def time_features(spark, folder):
     return T.feature_set(wide(spark, folder), "fs1").select("email_index", *T.TIME)
 
@@ -188,11 +209,11 @@ def wide(spark, folder):
 
 
 _IDF = "i AS (SELECT lower(trim(term)) AS term, max(coalesce(round(idf, 3), 0)) AS idf FROM idf_terms WHERE term IS NOT NULL GROUP BY 1)"
-_SUBJECT = rf"""{_IDF}, st AS (SELECT email_index, unnest(list_filter(string_split_regex(lower(coalesce(subject, '')), '\s+'), lambda x: x <> '')) AS term FROM trec07_misp),
+_SUBJECT = rf"""{_IDF}, st AS (SELECT email_index, unnest(list_filter(string_split_regex(lower(coalesce(subject, '')), '[\t\n\x0B\f\r\x1C-\x20\x{{85}}\p{{Z}}]+'), lambda x: x <> '')) AS term FROM trec07_misp),
 sa AS (SELECT email_index, avg(coalesce(idf, 0)) AS a, max(coalesce(idf, 0)) AS mx, count(*) AS n FROM st LEFT JOIN i USING (term) GROUP BY 1)"""
 
 
-@query(rf"""WITH {_SUBJECT} SELECT t.email_index, len(coalesce(subject, '')) AS subject_length, CAST(len(regexp_extract_all(coalesce(subject, ''), '[\t\n\x0B\f\r ]')) AS BIGINT) AS subject_whitespace_count, coalesce(subject, '') AS subject,
+@query(rf"""WITH {_SUBJECT} SELECT t.email_index, len(coalesce(subject, '')) AS subject_length, CAST(len(regexp_extract_all(coalesce(subject, ''), '[\t\n\x0B\f\r\x1C-\x20\x{{85}}\p{{Z}}]')) AS BIGINT) AS subject_whitespace_count, coalesce(subject, '') AS subject,
 round(coalesce(a, 0), 6) AS subject_avg_idf, coalesce(mx, 0) AS subject_max_idf, coalesce(n, 0) AS subject_n_terms FROM trec07_misp t LEFT JOIN sa USING (email_index)""")
 def subject_features(spark, folder):
     return T.feature_set(wide(spark, folder), "fs1").select("email_index", *T.SUBJECT)
@@ -200,10 +221,10 @@ def subject_features(spark, folder):
 
 _BODY_SQL = r"""b AS (SELECT email_index, coalesce(body, '') AS body, regexp_extract_all(lower(coalesce(body, '')), '[\p{L}\p{N}_]+') AS w,
   list_filter(list_transform(regexp_extract_all(coalesce(body, ''), '(?:https?://|www\.)[^\s''"<>]+', 0, 'i'), lambda u: regexp_replace(u, '[.,;:!?)]+$', '')), lambda u: u <> '') AS lks FROM trec07_misp),
-g AS (SELECT email_index, regexp_extract(trim(regexp_extract(regexp_replace(body, '^\s+', ''), '^([^\r\n]*)', 1)), '(?i)^(good morning|good afternoon|good evening|dearest|greetings|hello|hi|hey|dear)\b', 1) AS tok,
-  trim(regexp_extract(trim(regexp_extract(regexp_replace(body, '^\s+', ''), '^([^\r\n]*)', 1)), '(?i)^(?:good morning|good afternoon|good evening|dearest|greetings|hello|hi|hey|dear)\b[,\s:!-]*([^\n,!?]*)', 1)) AS fol FROM b),
-gg AS (SELECT email_index, CASE WHEN tok = '' THEN '' ELSE lower(tok) || CASE WHEN fol = '' THEN '' WHEN regexp_matches(fol, '[\w.-]+@[\w.-]+\.\w+') THEN ', email' WHEN regexp_matches(regexp_extract(fol, '([^\s,;:()<>"'']+)', 1), '^[A-Z][a-z''-]+$') THEN ', name'
-  WHEN regexp_matches(regexp_extract(fol, '([^\s,;:()<>"'']+)', 1), '^[\w.-]{2,}$') THEN ', username' ELSE ', other' END END AS greeting FROM g)"""
+g AS (SELECT email_index, regexp_extract(trim(regexp_extract(regexp_replace(body, '^[\t\n\x0B\f\r\x1C-\x20\x{85}\p{Z}]+', ''), '^([^\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]*)', 1)), '(?i)^(good morning|good afternoon|good evening|dearest|greetings|hello|hi|hey|dear)\b', 1) AS tok,
+  trim(regexp_extract(trim(regexp_extract(regexp_replace(body, '^[\t\n\x0B\f\r\x1C-\x20\x{85}\p{Z}]+', ''), '^([^\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]*)', 1)), '(?i)^(?:good morning|good afternoon|good evening|dearest|greetings|hello|hi|hey|dear)\b[,\s\p{Z}:!-]*([^\n,!?]*)', 1)) AS fol FROM b),
+gg AS (SELECT email_index, CASE WHEN tok = '' THEN '' ELSE lower(tok) || CASE WHEN fol = '' THEN '' WHEN regexp_matches(fol, '[\p{L}\p{N}_.-]+@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+') THEN ', email' WHEN regexp_matches(regexp_extract(fol, '([^\s\p{Z},;:()<>"'']+)', 1), '^[A-Z][a-z''-]+$') THEN ', name'
+  WHEN regexp_matches(regexp_extract(fol, '([^\s\p{Z},;:()<>"'']+)', 1), '^[\p{L}\p{N}_.-]{2,}$') THEN ', username' ELSE ', other' END END AS greeting FROM g)"""
 
 
 @query(rf"""WITH {_BODY_SQL} SELECT b.email_index, CAST(len(lks) > 0 AS BIGINT) AS has_urls, len(w) AS body_word_count,
@@ -313,20 +334,56 @@ def undirected_edges(spark, folder):
     return G.undirected(edge(spark, folder)).groupBy("etype").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src").alias("sources"))
 
 
-_COLLAPSE = f"""{ENDS}, one AS (SELECT ntype, key FROM ends WHERE ntype NOT IN ('email', 'week') GROUP BY 1, 2 HAVING count(*) = 1),
-col AS (SELECT {_TARGET} AS ntype, e.dst AS key, email_index FROM e JOIN one ON one.key = e.dst AND one.ntype = {_TARGET} WHERE etype NOT LIKE '%from_domain')"""
+_COLLAPSE = f"""{ENDS}, d1 AS (SELECT key FROM ends WHERE ntype = 'email_domain' GROUP BY key HAVING count(*) = 1),
+c1 AS (SELECT 'email_domain' AS ntype, dst AS key, CASE etype WHEN 'sender_from_domain' THEN 'sender' ELSE 'receiver' END AS ptype, src AS parent FROM e WHERE etype LIKE '%from_domain' AND dst IN (SELECT key FROM d1)),
+e1 AS (SELECT * FROM e WHERE NOT (etype LIKE '%from_domain' AND dst IN (SELECT key FROM d1))),
+d2 AS (SELECT ntype, key FROM (SELECT {_TARGET} AS ntype, dst AS key FROM e1 UNION ALL SELECT {_SOURCE}, src FROM e1) WHERE ntype IN ('sender', 'receiver', 'url', 'domain', 'stem') GROUP BY 1, 2 HAVING count(*) = 1),
+c2 AS (SELECT {_TARGET} AS ntype, dst AS key, 'email' AS ptype, src AS parent FROM e1 JOIN d2 ON d2.ntype = {_TARGET} AND d2.key = dst WHERE etype NOT LIKE '%from_domain'),
+col AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2),
+ke AS (SELECT e1.* FROM e1 WHERE NOT EXISTS (SELECT 1 FROM d2 WHERE d2.key = e1.dst AND d2.ntype = {_TARGET}))"""
 
 
-@query(f"WITH {_COLLAPSE} SELECT ntype, key, email_index, len(key) AS len FROM col")
+@query(f"WITH {_COLLAPSE} SELECT ntype, key, ptype, parent, len(key) AS len FROM col")
 def collapse_nodes(spark, folder):
-    return G.collapse_single(edge(spark, folder))[1].select("ntype", "key", "email_index", F.length("key").cast("bigint").alias("len"))
+    return G.collapse_single(edge(spark, folder))[1].select("ntype", "key", "ptype", "parent", F.length("key").cast("bigint").alias("len"))
 
 
-@query(f"WITH {_COLLAPSE} SELECT etype, count(*) AS n, count(DISTINCT dst) AS targets FROM e WHERE NOT EXISTS (SELECT 1 FROM col WHERE col.key = e.dst AND col.ntype = {_TARGET}) GROUP BY 1")
+@query(f"WITH {_COLLAPSE} SELECT etype, count(*) AS n, count(DISTINCT dst) AS targets FROM ke GROUP BY 1")
 def collapse_edges(spark, folder):
     return G.collapse_single(edge(spark, folder))[0].groupBy("etype").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dst").alias("targets"))
 
 
+@query(f"""WITH {_COLLAPSE}, inn AS (SELECT ptype AS ntype, parent AS key, sum(len(key)) AS i FROM c1 GROUP BY 1, 2), o AS (SELECT c2.*, i FROM c2 LEFT JOIN inn USING (ntype, key))
+SELECT parent AS email, CAST(coalesce(sum(len(key)) FILTER (ntype = 'sender'), 0) AS DOUBLE) AS sender_len, CAST(coalesce(sum(i) FILTER (ntype = 'sender'), 0) AS DOUBLE) AS sender_domain_len,
+CAST(coalesce(sum(len(key)) FILTER (ntype = 'receiver'), 0) AS DOUBLE) AS receiver_len, CAST(coalesce(sum(i) FILTER (ntype = 'receiver'), 0) AS DOUBLE) AS receiver_domain_len,
+CAST(count(*) FILTER (ntype = 'url') AS DOUBLE) AS url_n, CAST(count(*) FILTER (ntype = 'domain') AS DOUBLE) AS domain_n, CAST(coalesce(sum(len(key)) FILTER (ntype = 'stem'), 0) AS DOUBLE) AS stem_len FROM o GROUP BY 1""")
+def collapse_sums(spark, folder):
+    return G.collapsed_sums(G.collapse_single(edge(spark, folder))[1])
+
+
+_NUMBERED = f"""f AS (SELECT {_TARGET} AS ntype, dst AS key, min(email_index) AS first FROM ke GROUP BY 1, 2), ix AS (SELECT ntype, key, row_number() OVER (PARTITION BY ntype ORDER BY first, key) - 1 AS idx FROM f)"""
+
+
+@query(f"WITH {_COLLAPSE}, {_NUMBERED} SELECT ntype, key, CAST(idx AS BIGINT) AS idx FROM ix")
+def collapse_index(spark, folder):
+    return G.node_index(G.collapse_single(edge(spark, folder))[0])
+
+
+@query(f"""WITH {_COLLAPSE}, {_NUMBERED} SELECT etype, CAST(CASE WHEN {_SOURCE} = 'email' THEN CAST(src AS BIGINT) ELSE s.idx END AS BIGINT) AS src, CAST(t.idx AS BIGINT) AS dst FROM ke
+JOIN ix t ON t.ntype = {_TARGET} AND t.key = dst LEFT JOIN ix s ON s.ntype = {_SOURCE} AND s.key = src""")
+def indexed_edges(spark, folder):
+    kept = cut(G.collapse_single(edge(spark, folder))[0])
+    return G.indexed_edges(kept, G.node_index(kept))
+
+
+@query(f"""WITH {ENDS}, nd AS (SELECT DISTINCT ntype, key FROM ends WHERE ntype <> 'week') SELECT DISTINCT etype, src, dst FROM e WHERE etype <> 'in_week'""")
+def merged_edges(spark, folder):
+    """Edges of a graph that was handed over twice and without its weeks."""
+    e = edge(spark, folder)
+    nodes = G.endpoints(e).where("ntype <> 'week'").select("ntype", "key")
+    return G.merged(nodes, e.unionByName(e))[1]
+
+
 @query(f"WITH {EDGES} SELECT etype, src, dst, count(*) AS n FROM e WHERE etype IN ('has_sender', 'has_receiver', 'has_domain', 'has_stem', 'has_url') GROUP BY 1, 2, 3")
 def type_filter(spark, folder):
     return G.without_types(edge(spark, folder), ("week", "email_domain")).groupBy("etype", "src", "dst").agg(F.count(F.lit(1)).alias("n"))

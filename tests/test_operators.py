@@ -194,3 +194,52 @@ def test_files(spark, tmp_path):
     assert {r.cluster: r.size for r in doc.collect()} == {-1: 1, 2: 1}
     files.write_csv(spark.createDataFrame([("a", "1.23456"), ("b", "x")], "term string, idf string"), str(tmp_path / "idf"))
     assert sorted(tuple(r) for r in files.read_idf_csv(spark, str(tmp_path / "idf")).collect()) == [("a", 1.235), ("b", 0.0)]
+
+
+def test_mail_times_are_those_of_the_general_parser(spark):
+    from email.utils import parsedate_to_datetime
+
+    dates = [
+        "Tue, 10 Apr 2007 12:00:00 -0400", "10 Apr 07 12:00 EST", "Sun Apr  1 16:38:02 2007", "10-Apr-07 12:00:01 GMT", "Tue, 10 Apr 2007 12.30",
+        "April 10 2007 12:00:00", "Tue, 31 Apr 2007 12:00:00 +0000", "2007-04-10 12:00:00", "10 Apr 2007 12:00:00 +9900", "junk", "", None, "10 Apr 1969 1:2:3",
+    ]
+
+    def want(d):
+        try:
+            return parsedate_to_datetime(d).strftime("%Y-%m-%d %H:%M:%S")
+        except Exception:
+            return None
+
+    got = {r.i: r.t for r in spark.createDataFrame(list(enumerate(dates)), "i int, d string").select("i", C.mail_time("d").alias("t")).collect()}
+    assert got == {i: want(d) for i, d in enumerate(dates)} and sum(v is not None for v in got.values()) >= 6
+
+
+def test_greetings_and_spaces_of_any_script(spark):
+    bodies = ["Dear Élodie,", "Dear John,", " Hello", "hi bob@x.com", "hey user_1", "Yo", None, "Dear «!»"]
+    got = [r.g for r in spark.createDataFrame(list(enumerate(bodies)), "i int, b string").select("i", C.greeting(F.col("b")).alias("g")).orderBy("i").collect()]
+    assert got[:7] == ["dear, username", "dear, name", "hello", "hi, email", "hey, username", "", ""]
+    row = spark.createDataFrame([("a b  c ",)], "s string").select(F.regexp_count("s", F.lit(C.SPACE)).alias("n"), T.terms(F.col("s")).alias("t")).first()
+    assert row.n == 4 and row.t == ["a", "b", "c"]
+
+
+def test_collapse_in_two_steps(spark):
+    e = spark.createDataFrame(
+        [("has_sender", "0", "ab", 0), ("has_sender", "1", "xyz", 1), ("has_sender", "2", "xyz", 2), ("has_sender", "3", "q@d.org", 3), ("sender_from_domain", "q@d.org", "d.org", 3),
+         ("has_domain", "0", "d", 0), ("has_domain", "0", "d", 0), ("in_week", "0", "2007-W01", 0)], "etype string, src string, dst string, email_index long")
+    kept, collapsed = G.collapse_single(e)
+    assert {tuple(r) for r in collapsed.collect()} == {("sender", "ab", "email", "0"), ("email_domain", "d.org", "sender", "q@d.org"), ("sender", "q@d.org", "email", "3")}
+    assert G.collapse_single(kept)[1].count() == 0  # once is enough
+    sums = {r.email: (r.sender_len, r.sender_domain_len, r.receiver_len) for r in G.collapsed_sums(collapsed).collect()}
+    assert sums == {"0": (2.0, 0.0, 0.0), "3": (7.0, 5.0, 0.0)}
+    index = G.node_index(kept)
+    assert {(r.ntype, r.key): r.idx for r in index.collect()} == {("sender", "xyz"): 0, ("domain", "d"): 0, ("week", "2007-W01"): 0}
+    assert sorted((r.etype, r.src, r.dst) for r in G.indexed_edges(kept, index).collect() if r.etype == "has_sender") == [("has_sender", 1, 0), ("has_sender", 2, 0)]
+    assert G.collapse_single(e.limit(0))[1].count() == 0
+
+
+def test_merged_graph(spark):
+    nodes = spark.createDataFrame([("email", "0", 1), ("email", "0", 1), ("sender", "a", None)], "ntype string, key string, x int")
+    e = spark.createDataFrame([("has_sender", "0", "a"), ("has_sender", "0", "a"), ("has_sender", "9", "a"), ("has_url", "0", "u")], "etype string, src string, dst string")
+    once, held, counts = G.merged(nodes, e)
+    assert once.count() == 2 and [tuple(r) for r in held.collect()] == [("has_sender", "0", "a")]
+    assert {(r.kind, r.name): r.rows for r in counts.collect()} == {("node", "email"): 2, ("node", "sender"): 1, ("edge", "has_sender"): 3, ("edge", "has_url"): 1}
