@@ -237,18 +237,73 @@ def silhouette(points: DataFrame, key: str, cluster: str, vector: str) -> DataFr
     return per.agg(F.round(F.avg(F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))), 6).alias("score"))
 
 
-def principal_axes(points: DataFrame, key: str, vector: str, k: int, centred: bool = True) -> DataFrame:
-    """(key, axes): coordinates on the k leading axes of the (centred) vectors; an axis' largest loading is positive."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+GRAM_ROWS = 64  # rows of the Gram matrix that are summed together
 
-    width = len(points.select(vector).first()[0])
-    mean = np.array(points.agg(F.array(*(F.avg(F.col(vector)[i].cast("double")) for i in range(width)))).first()[0]) if centred else np.zeros(width)
-    moved = points.select(F.col(vector)).rdd.map(lambda r: Vectors.dense([float(x) - m for x, m in zip(r[0], mean)]))
-    axes = RowMatrix(moved).computeSVD(k).V.toArray()
-    axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
-    loads = F.array(*(F.array(*map(F.lit, [float(x) for x in axes[:, j]])) for j in range(axes.shape[1])))
-    shifted = F.zip_with(vector, F.array(*map(F.lit, [float(m) for m in mean])), lambda x, m: x.cast("double") - m)
-    return points.select(key, F.transform(loads, lambda l: F.aggregate(F.zip_with(shifted, l, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)).alias("axes"))
 
+def _stacked(batch: pd.DataFrame, width: int) -> np.ndarray:
+    """The vectors of a batch as a matrix; given as arrays, or as lists of (place, value) of what is not zero."""
+    values = batch["v"].to_numpy()
+    if len(values) and len(values[0]) and isinstance(values[0][0], (dict, tuple)):
+        out = np.zeros((len(values), width))
+        for i, row in enumerate(values):
+            for x in row:
+                out[i, x["i"]] = x["w"]
+        return out
+    return np.stack([np.asarray(v, np.float64) for v in values]) if len(values) else np.zeros((0, width))
 
+
+def gram(points: DataFrame, vector: str, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sum of outer products, sum, count) of the vectors: each task sums its own, stripes of the matrix are summed apart."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, first, n = np.zeros((width, width)), np.zeros(width), 0
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK):
+                m = _stacked(batch.iloc[at : at + BLOCK], width)
+                total, first, n = total + m.T @ m, first + m.sum(0), n + len(m)
+        if n:
+            for at in range(0, width, GRAM_ROWS):
+                yield pd.DataFrame({"stripe": [at], "data": [total[at : at + GRAM_ROWS].tobytes()], "first": [first[at : at + GRAM_ROWS].tobytes()], "n": [n]})
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        sums = [sum(np.frombuffer(x) for x in rows[c]).tobytes() for c in ("data", "first")]
+        return pd.DataFrame({"stripe": rows["stripe"].iloc[:1], "data": sums[:1], "first": sums[1:], "n": [int(rows["n"].sum())]})
+
+    kind = "stripe int, data binary, first binary, n bigint"
+    rows = points.select(F.col(vector).alias("v")).mapInPandas(part, kind).groupBy("stripe").applyInPandas(add, kind).collect()  # width x width numbers
+    rows.sort(key=lambda r: r["stripe"])
+    if not rows:
+        return np.zeros((width, width)), np.zeros(width), 0
+    return np.concatenate([np.frombuffer(r["data"]).reshape(-1, width) for r in rows]), np.concatenate([np.frombuffer(r["first"]) for r in rows]), rows[0]["n"]
+
+
+def principal_axes(points: DataFrame, key: str, vector: str, k: int, centred: bool = True, width: int | None = None) -> DataFrame:
+    """(key, axes): coordinates on the k leading axes of the (centred) vectors; an axis' largest loading is positive.
+
+    Vectors are arrays of one length, or with `width` lists of (i, w), the places and values of what is not zero. Axes
+    that the vectors do not have are zeros; an empty table gives none.
+    """
+    axes, mean, _ = axes_of(points, vector, k, centred, width)
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK):
+                rows = batch.iloc[at : at + BLOCK]
+                yield pd.DataFrame({"k": rows["k"], "axes": list((_stacked(rows, len(mean)) - mean) @ axes)})
+
+    kind = dict(points.dtypes)[key]
+    return points.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(project, f"k {kind}, axes array<double>").withColumnRenamed("k", key)
+
+
+def axes_of(points: DataFrame, vector: str, k: int, centred: bool, width: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(axes as columns, mean, share of the sum of squares that each explains)."""
+    if width is None:
+        row = points.select(F.size(vector).alias("n")).first()
+        width = row["n"] if row else 1
+    total, first, n = gram(points, vector, width)
+    mean = first / max(n, 1) if centred else np.zeros(width)
+    spread, axes = np.linalg.eigh(total - n * np.outer(mean, mean))
+    spread, axes = np.maximum(spread[::-1], 0.0), axes[:, ::-1]
+    axes = axes[:, :k] * np.sign(axes[np.abs(axes[:, :k]).argmax(0), np.arange(min(k, width))])
+    axes = np.pad(np.where(spread[:k] > 1e-12 * max(spread[0], 1e-300), axes, 0.0), ((0, 0), (0, max(0, k - width))))
+    return axes, mean, spread[:k] / max(spread.sum(), 1e-300)

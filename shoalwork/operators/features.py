@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalwork.functions import columns as C
+from shoalwork.operators.clustering import principal_axes
+from shoalwork.plans.cut import cut
 
 # Fixed values that results depend on: names of columns and contents of the feature sets.
 TIME = ("day", "month", "year", "weekday", "workday", "date_sent", "time_sent")
@@ -98,6 +102,58 @@ def bag_of_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+#: Function words that the vectorisers leave out unless others are given.
+STOP_WORDS = (
+    "a", "about", "above", "after", "again", "against", "all", "also", "am", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before", "being",
+    "below", "between", "both", "but", "by", "can", "cannot", "could", "did", "do", "does", "doing", "down", "during", "each", "few", "for", "from", "further",
+    "had", "has", "have", "having", "he", "her", "here", "hers", "him", "his", "how", "if", "in", "into", "is", "it", "its", "itself", "me", "more", "most",
+    "my", "no", "nor", "not", "of", "off", "on", "once", "only", "or", "other", "our", "ours", "out", "over", "own", "same", "she", "should", "so", "some",
+    "such", "than", "that", "the", "their", "theirs", "them", "then", "there", "these", "they", "this", "those", "through", "to", "too", "under", "until",
+    "up", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "would", "you", "your", "yours",
+)
+
+
+def _accents() -> tuple[str, str]:
+    """Letters with marks and the letters below the marks, by canonical decomposition."""
+    pairs = [(c, "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))) for c in map(chr, range(0xC0, 0x2000))]
+    pairs = [(c, b) for c, b in pairs if len(b) == 1 and b != c]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+def grams(text: Column, longest: int = 1, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
+    """The terms of a text in order: words of two and more letters, digits or _ in lower case, without accents and stop
+    words, and with `longest` 2 also each two words that then follow each other. Nulls and empty texts have none."""
+    plain = F.regexp_replace(F.translate(F.lower(C.text(text)), *_accents()), r"\p{Mn}", "")
+    words = F.filter(F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}_]{2,})"), 1), lambda w: ~w.isin(*stop_words))
+    if longest == 1:
+        return words
+    return F.concat(words, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+
+
+def vectorise(docs: DataFrame, key: str, text: str, most: int, longest: int = 1, least: int = 1, largest_share: float = 1.0, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """(key, place, term, weight): tf-idf vectors of unit length over the `most` most frequent terms, ties by term.
+
+    Terms of fewer than `least` texts, or of more than `largest_share` of all, are left out first. Places number the terms
+    in alphabetical order. Texts without any term have no row; a key is taken once for each of its rows.
+    """
+    bag = docs.select(key, F.explode(grams(F.col(text), longest, stop_words)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    n = docs.select(key).distinct().agg(F.count(F.lit(1)).alias("n_docs"))  # one row
+    stats = bag.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).crossJoin(F.broadcast(n))
+    kept = stats.where((F.col("df") >= least) & (F.col("df") <= largest_share * F.col("n_docs"))).orderBy(F.desc("total"), "term").limit(most)
+    idf = kept.select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"), (F.row_number().over(Window.orderBy("term")) - 1).alias("place"))  # `most` rows
+    raw = bag.join(F.broadcast(idf), "term").select(key, "place", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "place", "term", (F.col("w") / norm).alias("weight"))
+
+
+def latent_topics(docs: DataFrame, key: str, text: str, topics: int = 10, most: int = 1_000, least: int = 2, largest_share: float = 0.8) -> DataFrame:
+    """(key, lsa_topic_0, ...): the leading uncentred axes of the tf-idf vectors to four places; zeros for texts without terms."""
+    weights = cut(vectorise(docs, key, text, most, 1, least, largest_share))
+    lists = weights.groupBy(key).agg(F.collect_list(F.struct(F.col("place").alias("i"), F.col("weight").alias("w"))).alias("v"))  # one text's own terms
+    found = principal_axes(lists, key, "v", topics, centred=False, width=most)
+    return docs.select(key).distinct().join(found, key, "left").select(key, *(F.round(F.coalesce(F.col("axes")[i], F.lit(0.0)), 4).alias(f"lsa_topic_{i}") for i in range(topics)))
+
+
 def inverse_frequency(bag: DataFrame, docs: DataFrame, key: str, most: int | None = None) -> DataFrame:
     """(term, df, total, idf) with idf = ln((1 + n) / (1 + df)) + 1; the `most` most frequent terms, ties by term."""
     n = docs.select(key).distinct().agg(F.count(F.lit(1)).alias("n_docs"))

@@ -481,16 +481,38 @@ def tfidf(spark, folder):
     return T.tfidf(bag, T.inverse_frequency(bag, docs, "doc_id", 2000), "doc_id").withColumn("weight", F.round("weight", 6))
 
 
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+def _vector_sql(text: str, most: int, longest: int, least: int = 1, share: float = 1.0) -> str:
+    more = " UNION ALL SELECT email_index, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM wd" if longest == 2 else ""
+    return rf"""WITH wd AS (SELECT email_index, list_filter(regexp_extract_all(strip_accents(lower(coalesce({text}, ''))), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_STOP})) AS w FROM trec07_misp),
+g AS (SELECT email_index, unnest(w) AS term FROM wd{more}), bag AS (SELECT email_index, term, count(*) AS tf FROM g GROUP BY 1, 2), n AS (SELECT count(DISTINCT email_index) AS n FROM trec07_misp),
+st AS (SELECT term, count(*) AS df, sum(tf) AS total FROM bag GROUP BY 1), kp AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM st, n WHERE df >= {least} AND df <= {share} * n ORDER BY total DESC, term LIMIT {most}),
+pl AS (SELECT term, idf, row_number() OVER (ORDER BY term) - 1 AS place FROM kp), x AS (SELECT email_index, place, term, tf * idf AS w FROM bag JOIN pl USING (term))
+SELECT email_index, CAST(place AS INT) AS place, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY email_index)), 6) AS weight FROM x"""
+
+
+@query(_vector_sql("subject", 128, 2))
+def subject_vectors(spark, folder):
+    return T.vectorise(raw(spark, folder), "email_index", "subject", 128, 2).withColumn("weight", F.round("weight", 6))
+
+
+@query(_vector_sql("body", 256, 1))
+def body_vectors(spark, folder):
+    return T.vectorise(raw(spark, folder), "email_index", "body", 256).withColumn("weight", F.round("weight", 6))
+
+
+@query(_vector_sql("subject", 500, 2, 2, 0.8))
+def field_vectors(spark, folder):
+    """A text field as the clustering of feature sets takes it: 500 one- and two-word terms of at least 2 and at most 80 % of the mails."""
+    return T.vectorise(raw(spark, folder), "email_index", "subject", 500, 2, 2, 0.8).withColumn("weight", F.round("weight", 6))
+
+
 @query()
 def lsa_topics(spark, folder):
-    """Ten latent topics of the documents' weights over the 200 most frequent terms."""
-    docs = table(spark, folder, "documents")
-    bag = T.bag_of_words(docs, "doc_id", "text")
-    stats = cut(T.inverse_frequency(bag, docs, "doc_id", 200))
-    names = [r["term"] for r in stats.orderBy("term").collect()]  # 200 rows
-    weights = T.tfidf(bag, stats, "doc_id").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("m"))
-    dense = cut(weights.select("doc_id", F.array(*(F.coalesce(F.try_element_at("m", F.lit(t)), F.lit(0.0)) for t in names)).alias("v")))
-    return K.principal_axes(dense, "doc_id", "v", 10, centred=False).select("doc_id", *(F.round(F.col("axes")[i], 4).alias(f"lsa_topic_{i}") for i in range(10)))
+    """Ten latent topics of the bodies' weights over 1,000 terms of at least 2 and at most 80 % of the mails."""
+    return T.latent_topics(raw(spark, folder), "email_index", "body")
 
 
 # --- clusterings and their quality

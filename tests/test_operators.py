@@ -243,3 +243,27 @@ def test_merged_graph(spark):
     once, held, counts = G.merged(nodes, e)
     assert once.count() == 2 and [tuple(r) for r in held.collect()] == [("has_sender", "0", "a")]
     assert {(r.kind, r.name): r.rows for r in counts.collect()} == {("node", "email"): 2, ("node", "sender"): 1, ("edge", "has_sender"): 3, ("edge", "has_url"): 1}
+
+
+def test_terms_of_vectors(spark):
+    texts = ["The café, a CAFE!", "red engine and red ferry", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").withColumn("term", F.lit("clash"))
+    got = {r.k: r.g for r in df.select("k", T.grams(F.col("t"), 2).alias("g")).collect()}
+    assert got == {0: ["cafe", "cafe", "cafe cafe"], 1: ["red", "engine", "red", "ferry", "red engine", "engine red", "red ferry"], 2: [], 3: []}
+    rows = T.vectorise(df, "k", "t", 3, 2).collect()
+    assert {r.term for r in rows} == {"cafe", "red", "cafe cafe"} and [r.place for r in sorted(rows, key=lambda r: r.term)] == [0, 1, 2]
+    assert abs(sum(r.weight**2 for r in rows if r.k == 0) - 1) < 1e-9 and not [r for r in rows if r.k > 1]
+    assert T.vectorise(df.limit(0), "k", "t", 3).count() == 0
+
+
+def test_axes_equal_the_singular_vectors(spark):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(60, 5)) * [5, 3, 1, 0.5, 0.1]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "k long, v array<double>").repartition(3)
+    for centred in (True, False):
+        x = m - m.mean(0) if centred else m
+        u, d, _ = np.linalg.svd(x, full_matrices=False)
+        got = np.array([r.axes for r in K.principal_axes(df, "k", "v", 2, centred).orderBy("k").collect()])
+        assert np.allclose(np.abs(got), np.abs(u[:, :2] * d[:2]))
+    topics = T.latent_topics(spark.createDataFrame([(1, "red engine"), (2, "red ferry"), (3, None)], "k long, t string"), "k", "t", topics=2, most=4, largest_share=1.0)
+    assert {r.k: r.lsa_topic_0 for r in topics.collect()} == {1: 1.0, 2: 1.0, 3: 0.0}
