@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,6 +149,55 @@ def vectorise(docs: DataFrame, key: str, text: str, most: int, longest: int = 1,
     return raw.select(key, "place", "term", (F.col("w") / norm).alias("weight"))
 
 
+def clustering_matrix(records: DataFrame, key: str, numeric: list[str], texts: list[str], most: int = 500) -> DataFrame:
+    """(key, v): the records as dense vectors, numbers first, then up to `most` terms of each text field, scaled robustly.
+
+    Numbers that cannot be read count 0. Text fields are taken as one- and two-word terms of at least 2 and at most 80 %
+    of the records; a field without such terms adds nothing. Each column is centred at its median and divided by its
+    quartile range (1 where that is 0); what a text does not hold counts as 0 in both. Keys are single; without any record
+    there is no matrix (ValueError).
+    """
+    n = records.count()
+    if not n:
+        raise ValueError("no records")
+    number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
+    entry = lambda i, c: F.struct(F.lit(i).alias("i"), c.alias("w"))
+    parts = [records.select(key, F.explode(F.array(*(entry(i, number(c)) for i, c in enumerate(numeric)))).alias("x")).select(key, "x.i", "x.w")] if numeric else []
+    for at, field in enumerate(texts):
+        parts.append(vectorise(records, key, field, most, 2, 2, 0.8).select(key, (F.col("place") + len(numeric) + at * most).alias("i"), F.col("weight").alias("w")))
+    cells = parts[0]
+    for p in parts[1:]:
+        cells = cells.unionByName(p)
+    cells = cut(cells)
+    held = cells.groupBy("i").agg(F.count(F.lit(1)).alias("m"))
+    counted = cells.select("i", "w", F.lit(1).cast("bigint").alias("times")).unionByName(held.where(F.col("m") < n).select("i", F.lit(0.0).alias("w"), (F.lit(n) - F.col("m")).alias("times")))
+    quartiles = counted.groupBy("i").agg(F.percentile("w", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("times")).alias("q")).collect()  # a row for each column
+    columns = sorted(r["i"] for r in quartiles)
+    place = {i: k for k, i in enumerate(columns)}
+    middle = np.array([q["q"][1] for q in sorted(quartiles, key=lambda r: r["i"])])
+    spread = np.array([q["q"][2] - q["q"][0] or 1.0 for q in sorted(quartiles, key=lambda r: r["i"])])
+
+    def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                rows = batch.iloc[at : at + 512]
+                m = np.zeros((len(rows), len(columns)))
+                for r, items in enumerate(rows["cells"]):
+                    for x in items if items is not None else ():
+                        m[r, place[x["i"]]] = x["w"]
+                yield pd.DataFrame({"k": rows["k"], "v": list((m - middle) / spread)})
+
+    lists = cells.groupBy(key).agg(F.collect_list(F.struct("i", "w")).alias("cells"))  # one record's own cells
+    kind = dict(records.dtypes)[key]
+    whole = records.select(key).join(lists, key, "left").select(F.col(key).alias("k"), "cells")
+    return whole.mapInPandas(dense, f"k {kind}, v array<double>").withColumnRenamed("k", key)
+
+
+def feature_set_with_topics(wide: DataFrame, topics: DataFrame, name: str) -> DataFrame:
+    """A feature set that holds bodies, with the latent topics of these."""
+    return feature_set(wide, name).join(topics, "email_index", "left")
+
+
 def latent_topics(docs: DataFrame, key: str, text: str, topics: int = 10, most: int = 1_000, least: int = 2, largest_share: float = 0.8) -> DataFrame:
     """(key, lsa_topic_0, ...): the leading uncentred axes of the tf-idf vectors to four places; zeros for texts without terms."""
     weights = cut(vectorise(docs, key, text, most, 1, least, largest_share))

@@ -515,6 +515,39 @@ def lsa_topics(spark, folder):
     return T.latent_topics(raw(spark, folder), "email_index", "body")
 
 
+_NUMBERS = ("subject_length", "subject_whitespace_count", "body_word_count", "num_lines")
+
+
+@query(f"""WITH sf AS ({SQL['subject_features']}), bf AS ({SQL['body_features']}), fv AS ({_vector_sql('subject', 300, 2, 2, 0.8)}),
+c0 AS (SELECT email_index, unnest(range(4)) AS i, unnest([CAST(subject_length AS DOUBLE), CAST(subject_whitespace_count AS DOUBLE), CAST(body_word_count AS DOUBLE), CAST(num_lines AS DOUBLE)]) AS w FROM sf JOIN bf USING (email_index)
+  UNION ALL SELECT email_index, place + 4, weight FROM fv), cl AS (SELECT DISTINCT i FROM c0), ce AS (SELECT email_index, i, coalesce(w, 0.0) AS w FROM (SELECT email_index FROM trec07_misp) CROSS JOIN cl LEFT JOIN c0 USING (email_index, i)),
+q AS (SELECT i, quantile_cont(w, 0.5) AS med, quantile_cont(w, 0.75) - quantile_cont(w, 0.25) AS iqr FROM ce GROUP BY 1)
+SELECT email_index, round(sum(abs((w - med) / CASE WHEN iqr = 0 THEN 1 ELSE iqr END)), 3) AS total, CAST(count(*) AS BIGINT) AS width FROM ce JOIN q USING (i) GROUP BY 1""")
+def fs_matrix(spark, folder):
+    """Each row of the matrix that a clustering of a feature set starts from, as its width and the sum of its entries' sizes."""
+    rows = T.clustering_matrix(wide(spark, folder).select("email_index", "subject", *_NUMBERS), "email_index", list(_NUMBERS), ["subject"], 300)
+    return rows.select("email_index", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x)), 3).alias("total"), F.size("v").cast("bigint").alias("width"))
+
+
+def _with_topics(name: str):
+    def run(spark, folder):
+        return T.feature_set_with_topics(wide(spark, folder), T.latent_topics(raw(spark, folder), "email_index", "body"), name)
+
+    run.__name__ = f"{name}_topics"
+    return run
+
+
+for _name in ("fs1", "fs2", "fs4", "fs5", "fs7"):
+    query()(_with_topics(_name))
+
+
+@query()
+def grid_point(spark, folder):
+    """One point of a clustering grid: sizes and subjects of the mails as a matrix of up to 104 columns, density clustering at 1.5."""
+    rows = cut(T.clustering_matrix(wide(spark, folder).select("email_index", "subject", *_NUMBERS), "email_index", list(_NUMBERS), ["subject"], 100))
+    return K.dbscan(rows, "email_index", "v", 1.5, 5)
+
+
 # --- clusterings and their quality
 
 

@@ -267,3 +267,19 @@ def test_axes_equal_the_singular_vectors(spark):
         assert np.allclose(np.abs(got), np.abs(u[:, :2] * d[:2]))
     topics = T.latent_topics(spark.createDataFrame([(1, "red engine"), (2, "red ferry"), (3, None)], "k long, t string"), "k", "t", topics=2, most=4, largest_share=1.0)
     assert {r.k: r.lsa_topic_0 for r in topics.collect()} == {1: 1.0, 2: 1.0, 3: 0.0}
+
+
+def test_clustering_matrix(spark):
+    rows = [(1, "3", "red engine"), (2, None, "red engine"), (3, "x", None), (4, "5", "blue")]
+    df = spark.createDataFrame(rows, "k long, n string, t string").withColumn("i", F.lit("clash"))
+    got = {r.k: list(r.v) for r in T.clustering_matrix(df, "k", ["n"], ["t"], 5).collect()}
+    assert len(got[1]) == 4  # the number, and engine, red, red engine
+    n = np.array([3.0, 0.0, 0.0, 5.0])
+    q = np.percentile(n, [25, 50, 75])
+    assert np.allclose([got[k][0] for k in (1, 2, 3, 4)], (n - q[1]) / (q[2] - q[0]))
+    w = 1 / np.sqrt(3)
+    column = np.array([w, w, 0, 0])
+    q = np.percentile(column, [25, 50, 75])
+    assert np.allclose([got[k][1] for k in (1, 2, 3, 4)], (column - q[1]) / (q[2] - q[0]))
+    with pytest.raises(ValueError):
+        T.clustering_matrix(df.limit(0), "k", ["n"], ["t"])
