@@ -25,7 +25,7 @@ LOST = "�"
 WORD = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
 
 _BEYOND = re.compile(r"[^\x00-\x7f]+")
-_ASCII = re.compile(r"[\x00-\x7f]+")
+_LETTERS, _DIGITS, _OTHERS = re.compile("[A-Za-z]+"), re.compile("[0-9]+"), re.compile(r"[\x00-/:-@\[-`{-\x7f]+")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 Step = tuple[str, str]
@@ -101,9 +101,14 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bare(word: str) -> str:
-    """The word in lower case without the signs around it; if all beyond ASCII are signs, those with ASCII as one letter."""
+    """The word in lower case without the signs around it; if all beyond ASCII are signs, those with ASCII letters as one letter and numbers as one digit.
+
+    Signs that outweigh what is between them are letters in another encoding and stay.
+    """
     core = _EDGES.sub("", word).lower()
-    return _ASCII.sub("a", word) if core.isascii() else core
+    if len(word) - len(core) > max(2, len(core)) and not core.isascii() and len(beyond_ascii(word)) - len(beyond_ascii(core)) > max(2, len(core)):
+        return word.lower()
+    return _DIGITS.sub("0", _LETTERS.sub("a", _OTHERS.sub("", word))) if core.isascii() else core
 
 
 def structured(chain: tuple[Step, ...]) -> bool:

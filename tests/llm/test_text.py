@@ -139,9 +139,10 @@ def test_held_out_accuracy():
     train, test = corpus(rng), corpus(rng, 200)
     model = M.Classifier.train(Counter(w for t in train for w in M.WORD.findall(t)))
     assert not any(M.restore(t, model)[1] for t in test)
-    for chain in M.CHAINS[:12]:
+    for chain in M.CHAINS:
         cases = [(t, g) for t in test if (g := M.garble(t, chain)) not in (None, t)]
-        assert sum(M.restore(g, model)[0] == t for t, g in cases) >= 0.98 * len(cases)
+        least = 0.7 if chain == (("cp1251", "mac-roman"),) else 0.98  # there a lone euro sign becomes a word that is known
+        assert cases and sum(M.restore(g, model)[0] == t for t, g in cases) >= least * len(cases)
 
 
 def test_garbled_fields(spark):
