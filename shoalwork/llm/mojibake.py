@@ -15,9 +15,12 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoalwork.plans.cut import cut
+
 BUCKETS = 1 << 13
 SAMPLE = 12_000  # fields that the classifier is trained on, at most
 MARGIN = 4.0  # nats that speak for a single-byte chain at least
@@ -135,55 +138,109 @@ def _both_cases(letters: set[str]) -> set[str]:
     return letters | {x for c in letters for x in (c.upper(), c.lower()) if len(x) == 1}
 
 
+def _blocks(letters: set[str]) -> set[int]:
+    """The parts of large scripts that the letters belong to; these scripts are not seen whole."""
+    return {ord(c) >> 12 << 4 | b for c in letters if c >= "\u3000" for b in range(16)}
+
+
+def _usual(often: Counter) -> set[str]:
+    """The letters of words that no chain of UTF-8 steps leads to, without the rarest."""
+    return _both_cases({c for c, n in often.items() if n >= 5e-4 * often.total()})
+
+
+def _befores(word: str) -> list[str]:
+    """What the word may have been before a chain of UTF-8 steps."""
+    return [r for c in CHAINS if structured(c) and (r := ungarble(word, c)) is not None and r != word]
+
+
+def _garbled(word: str, letters: set[str], blocks: set[int]) -> bool:
+    """Whether a chain of UTF-8 steps turns the word into letters of the corpus."""
+    return any(all(c in letters or (c >= "\u3000" and ord(c) >> 8 in blocks) for c in beyond_ascii(r)) for r in _befores(word))
+
+
+def _likelihoods(words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(log share of each bigram, log share of the words) of each class, from intact words with their counts."""
+    counts, share = np.full((len(CHAINS) + 1, BUCKETS), 0.01), np.full(len(CHAINS) + 1, 0.01)
+    for i, chain in enumerate([(), *CHAINS]):
+        garbled = [(g, n) for w, n in words.items() if (g := garble(w, chain)) is not None and (not chain or g != w)]
+        if garbled:
+            bucket, start = _features([g for g, _ in garbled])
+            weight = np.sqrt([n for _, n in garbled])
+            counts[i] += np.bincount(bucket, np.repeat(weight, np.diff(np.r_[start, len(bucket)])), BUCKETS)
+            share[i] += weight.sum()
+    return np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32), np.log(share / share[0]).astype(np.float32)
+
+
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+
+
+class Hashed:
+    """Counts of words by 64 bits of hash, sorted: 16 bytes a word, however long it is."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
+
+    def get(self, word: str, default: int = 0) -> int:
+        h = np.int64(_hash(word))
+        at = self.keys.searchsorted(h)
+        return int(self.counts[at]) if at < len(self.keys) and self.keys[at] == h else default
+
+    __getitem__ = get
+
+    def __contains__(self, word: str) -> bool:
+        return self.get(word) > 0
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+
 class Classifier:
     """Multinomial naive Bayes: class 0 is intact text, class i + 1 the chain i. A class' share is that of the words it can garble."""
 
-    def __init__(self, log_p: np.ndarray, log_share: np.ndarray, vocabulary: dict[str, int], raw: set[str], letters: set[str], own: int = 0):
+    def __init__(self, log_p: np.ndarray, log_share: np.ndarray, vocabulary: dict[str, int] | Hashed, raw: set[str] | Hashed, letters: set[str], own: int = 0):
         self.log_p, self.log_share, self.vocabulary, self.raw, self.letters = log_p, log_share, vocabulary, raw, letters
-        self.blocks = {ord(c) >> 12 << 4 | b for c in letters if c >= "\u3000" for b in range(16)}  # large scripts are not seen whole
+        self.blocks = _blocks(letters)
         self.known: dict[str, np.ndarray] = {}
         self.counts: dict[str, int] = {}
         self.inverse: dict[tuple[int, str], str | None] = {}
         self.own = own  # 1 if the field that is judged is itself among those counted: then a word must occur elsewhere to be known
 
     @classmethod
-    def train(cls, words: Counter, rounds: int = 2, corpus: Counter | None = None) -> Classifier:
-        """Fit bigrams to words with their counts; vocabulary and letters are those of the whole corpus (else of the words). Words of the corpus that are garbled themselves are left out first: those that UTF-8
+    def train(cls, words: Counter, rounds: int = 2) -> Classifier:
+        """Fit bigrams, vocabulary and letters to words with their counts. Words that are garbled themselves are left out first: those that UTF-8
         steps turn into letters of the corpus, and those that a single-byte step turns into a much more common word."""
-        intact = {w: n for w, n in (words if corpus is None else corpus).items() if LOST not in w and len(w) <= 200}
-        steps = [c for c in CHAINS if structured(c)]
-        back = {w: [r for c in steps if (r := ungarble(w, c)) is not None and r != w] for w in intact}
+        intact = {w: n for w, n in words.items() if LOST not in w and len(w) <= 200}
         often = Counter()
-        for w, r in back.items():
-            if not r:
+        for w, n in intact.items():
+            if not _befores(w):
                 for c in beyond_ascii(w):
-                    often[c] += intact[w]
-        letters = _both_cases({c for c, n in often.items() if n >= 5e-4 * often.total()})
-        blocks = {ord(c) >> 12 << 4 | b for c in letters if c >= "\u3000" for b in range(16)}
-        intact = {w: n for w, n in intact.items() if not any(all(c in letters or (c >= "\u3000" and ord(c) >> 8 in blocks) for c in beyond_ascii(r)) for r in back[w])}
+                    often[c] += n
+        letters = _usual(often)
+        blocks = _blocks(letters)
+        intact = {w: n for w, n in intact.items() if not _garbled(w, letters, blocks)}
         for turn in range(rounds):
-            counts, share = np.full((len(CHAINS) + 1, BUCKETS), 0.01), np.full(len(CHAINS) + 1, 0.01)
-            for i, chain in enumerate([(), *CHAINS]):
-                garbled = [(g, n) for w, n in words.items() if w in intact and (g := garble(w, chain)) is not None and (not chain or g != w)]
-                if garbled:
-                    bucket, start = _features([g for g, _ in garbled])
-                    weight = np.sqrt([n for _, n in garbled])
-                    counts[i] += np.bincount(bucket, np.repeat(weight, np.diff(np.r_[start, len(bucket)])), BUCKETS)
-                    share[i] += weight.sum()
             vocabulary: Counter = Counter()
             for w, n in intact.items():
                 vocabulary[bare(w)] += n
-            model = cls(np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32), np.log(share / share[0]).astype(np.float32), dict(vocabulary), {w for w, n in intact.items() if n > 1 or corpus is None}, _both_cases({c for w in intact for c in beyond_ascii(w)}), int(corpus is not None))
+            model = cls(*_likelihoods(intact), dict(vocabulary), set(intact), _both_cases({c for w in intact for c in beyond_ascii(w)}))
             names = list(intact)
             if turn == rounds - 1 or not names:
                 return model
-            scores = model.scores(names)
-            best = scores[:, 1:].argmax(1)
-            for k, w in enumerate(names):
-                if scores[k, best[k] + 1] > scores[k, 0] + 2 and (r := ungarble(w, CHAINS[best[k]])) is not None and vocabulary[bare(r)] >= 3 * vocabulary[bare(w)]:
+            for w, r in model.turned(names):
+                if vocabulary[bare(r)] >= 3 * vocabulary[bare(w)]:
                     del intact[w]
         return model
 
+    def turned(self, words: list[str]) -> list[tuple[str, str]]:
+        """(word, what it was before) for the words that a chain speaks for."""
+        if not words:
+            return []
+        scores = self.scores(words)
+        best = scores[:, 1:].argmax(1)
+        return [(w, r) for k, w in enumerate(words) if scores[k, best[k] + 1] > scores[k, 0] + 2 and (r := ungarble(w, CHAINS[best[k]])) is not None]
+
     def count(self, word: str) -> int:
         """How often the bare word occurs in the corpus."""
         n = self.counts.get(word)
@@ -304,10 +361,40 @@ def _words(last: int | None):
     return run
 
 
-def fit(rows: DataFrame, fields: list[str], sample: int = SAMPLE) -> Classifier:
+def _mapped(words: DataFrame, judge, schema: str) -> DataFrame:
+    """What judge makes of each batch of words (w, n, drawn), given as lists: the columns of the schema."""
+    kinds = [(c.split()[0], {"string": pa.string(), "bigint": pa.int64()}[c.split()[1]]) for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = judge(*(c.to_pylist() for c in batch.columns))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names=[n for n, _ in kinds])
+
+    return words.mapInArrow(run, schema)
+
+
+def _free_letters(words: list[str], counts: list[int], *_) -> list[tuple[str, int]]:
+    often = Counter()
+    for w, n in zip(words, counts):
+        if LOST not in w and not _befores(w):
+            for c in beyond_ascii(w):
+                often[c] += n
+    return list(often.items())
+
+
+def _hashed(counted: DataFrame) -> Hashed:
+    found = counted.toArrow()  # 16 bytes a word
+    return Hashed(*(found.column(i).to_numpy() for i in (0, 1)))
+
+
+def fit(rows: DataFrame, fields: list[str], sample: int = SAMPLE, rounds: int = 2) -> Classifier:
     """The classifier of a corpus: vocabulary and letters from all fields with characters beyond ASCII, bigrams from
     at most `sample` different ones, chosen by the hash of their text. A word counts the fields that hold it; where these are
-    copies of one text, that is one."""
+    copies of one text, that is one.
+
+    The steps are those of Classifier.train, taken by the executors; to the driver come the words of the sample, the
+    letters, and of all other words a hash with its count.
+    """
     texts = [rows.select(F.col(f).alias("t")).where("octet_length(t) > length(t)") for f in fields]
     both = texts[0]
     for t in texts[1:]:
@@ -315,9 +402,24 @@ def fit(rows: DataFrame, fields: list[str], sample: int = SAMPLE) -> Classifier:
     hashed = both.select("t", F.xxhash64("t").alias("h"))
     last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     held = hashed.mapInArrow(_words(last), "w string, n bigint, drawn bigint, a bigint, b bigint").groupBy("w")
-    counted = held.agg(F.sum("n").alias("all"), F.sum("drawn").alias("drawn"), F.min("a").alias("a"), F.max("b").alias("b")).select("w", F.when(F.col("a") == F.col("b"), 1).otherwise(F.col("all")).alias("n"), "drawn")
-    found = counted.orderBy("w").collect()  # the distinct words beyond ASCII
-    return Classifier.train(Counter({r["w"]: r["drawn"] for r in found if r["drawn"]}), corpus=Counter({r["w"]: r["n"] for r in found}))
+    counted = held.agg(F.sum("n").alias("all"), F.sum("drawn").alias("drawn"), F.min("a").alias("a"), F.max("b").alias("b"))
+    words = cut(counted.select("w", F.when(F.col("a") == F.col("b"), 1).otherwise(F.col("all")).alias("n"), "drawn"))
+    often = _mapped(words, _free_letters, "c string, n bigint").groupBy("c").agg(F.sum("n").alias("n")).collect()  # letters
+    letters = _usual(Counter({r["c"]: r["n"] for r in often}))
+    blocks = _blocks(letters)
+    judge = lambda ws, ns, ds: [(w, n, d, _hash(bare(w)), _hash(w)) for w, n, d in zip(ws, ns, ds) if LOST not in w and not _garbled(w, letters, blocks)]
+    intact = cut(_mapped(words, judge, "w string, n bigint, drawn bigint, h bigint, raw bigint"))
+    for turn in range(rounds):
+        drawn = intact.where("drawn > 0").select("w", "drawn").orderBy("w").collect()  # words of the sample
+        log_p, log_share = _likelihoods({r["w"]: r["drawn"] for r in drawn})
+        vocabulary = intact.groupBy("h").agg(F.sum("n").alias("v"))
+        if turn < rounds - 1:
+            model = (log_p, log_share, {}, set(), set())
+            turned = _mapped(intact.select("w"), lambda ws: [(w, _hash(bare(w)), _hash(bare(r))) for w, r in Classifier(*model).turned(ws)], "w string, h bigint, before bigint")  # noqa: B023
+            more = turned.join(vocabulary, "h").join(vocabulary.select(F.col("h").alias("before"), F.col("v").alias("more")), "before").where("more >= 3 * v")
+            intact = cut(intact.join(more.select("w"), "w", "left_anti"))
+    used = _mapped(intact.select("w"), lambda ws: [(c,) for c in {c for w in ws for c in beyond_ascii(w)}], "c string").distinct().collect()  # letters
+    return Classifier(log_p, log_share, _hashed(vocabulary), _hashed(intact.where("n > 1").select("raw", "n")), _both_cases({r["c"] for r in used}), 1)
 
 
 def _over(model: tuple, n: int, digest: bool):

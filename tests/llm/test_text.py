@@ -166,6 +166,29 @@ def test_words_outside_the_sample_are_known(spark):
     assert model.vocabulary["störung"] == 30 and "Störung" in model.raw
 
 
+def test_model_of_many_words_stays_small(spark):
+    """However long and many the words are, 16 bytes of each come to the driver for each of its forms."""
+    import pickle
+
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=60)) + "ö" for _ in range(4_000)]
+    rows = corpus(rng, 300) + [" ".join(words[i : i + 40]) for k in (0, 20) for i in range(k, 4_000, 40)]
+    model = M.fit(spark.createDataFrame(list(enumerate(rows)), "email_index long, body string"), ["body"], sample=5)
+    assert model.vocabulary[words[50]] == 2 and words[50] in model.raw and words[50] + "x" not in model.raw
+    assert len(pickle.dumps((model.vocabulary, model.raw))) < 40 * len(words)
+
+
+def test_fit_equals_training_in_memory(spark):
+    rng = random.Random(10)
+    texts = corpus(rng, 200)
+    texts += [g for i, t in enumerate(texts[:60]) if (g := M.garble(t, M.CHAINS[i % len(M.CHAINS)])) is not None]
+    counts = Counter(w for t in texts for w in M.marked_words(t))
+    one, two = M.Classifier.train(counts), M.fit(spark.createDataFrame(list(enumerate(texts)), "email_index long, body string"), ["body"])
+    assert one.letters == two.letters and len(one.vocabulary) == len(two.vocabulary) < len({M.bare(w) for w in counts})
+    single = {w for w in counts if sum(w in M.marked_words(t) for t in set(texts)) == 1}
+    assert all(two.vocabulary[w] == n for w, n in one.vocabulary.items() if not any(M.bare(x) == w for x in single))
+
+
 # --- inherited lines
 
 MAIL = """Hello Zoë,
