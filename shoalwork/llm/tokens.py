@@ -1,8 +1,9 @@
 """Encoding of a whole corpus with a public byte-level BPE tokenizer (problem 7).
 
 Short texts are encoded where they are read. A long text is cut in front of white space, where the tokenizer always
-starts anew; a stretch that has no such place is halved until its parts are short. All parts are encoded in parallel
-and then joined like a tree: around each join a growing window is encoded again until it agrees with both sides.
+starts anew; a stretch that has no such place is halved until its parts are short. All parts are encoded in parallel;
+those of one stretch are then joined like a tree: around each join a growing window is encoded again until it agrees with
+both sides. Only these carry their text and spans beside their ids, and texts are worked on in slices of fixed size.
 """
 
 from __future__ import annotations
@@ -11,10 +12,13 @@ import os
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoalwork.llm.hashing import slices
+
 LEAF = 6_000  # characters that are encoded at once
 _loaded: dict[str, object] = {}
 
@@ -133,58 +137,83 @@ def merge_tree(encode: Callable, text: str, parts: list[tuple[int, int, Encoded]
     return parts[0][2]
 
 
+_IDS = pa.list_(pa.int32())
+_PARTS = {"r": pa.string(), "part": pa.string(), "a": pa.int32(), "b": pa.int32(), "joined": pa.bool_(), "many": pa.bool_()}
+_ENCODED = {"r": pa.string(), "a": pa.int32(), "b": pa.int32(), "joined": pa.bool_(), "part": pa.string(), "ids": _IDS, "at": _IDS, "words": _IDS}
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds.values())], names=list(kinds))
+
+
 def _encode_short(path: str, counts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
-        for batch in batches:
+        for batch in slices(batches):
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 found = tokenizer.encode_batch_fast([t or "" for t in part.column(1).to_pylist()], add_special_tokens=False)
-                ids = [x.ids for x in found]
-                last = pa.array([len(x) for x in ids], pa.int64()) if counts else pa.array(ids, pa.list_(pa.int32()))
+                last = pa.array([len(x) for x in found], pa.int64()) if counts else pa.array([x.ids for x in found], _IDS)
                 yield pa.RecordBatch.from_arrays([part.column(0), last], names=["k", "ids"])
 
     return run
 
 
 def _cut_long(leaf: int):
+    """(r, part, a, b, joined, many): the parts of each text; many tells that a part is one of several of a stretch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(key, a, b, joined, text[a:b]) for a, b, joined in cut_points(text, leaf)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string()))], names=["r", "a", "b", "joined", "part"])
+                found = cut_points(text, leaf)
+                onward = [joined for _, _, joined in found[1:]] + [False]
+                yield _batch([(key, text[a:b], a, b, joined, joined or more) for (a, b, joined), more in zip(found, onward)], _PARTS)
 
     return run
 
 
 def _encode_parts(path: str):
-    spans = pa.list_(pa.int32())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
         encode = lambda t: tokenizer.encode(t, add_special_tokens=False)
-        for batch in batches:
-            done = [encode_spans(encode, t, a) for t, a in zip(batch.column("part").to_pylist(), batch.column("a").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("r", "a", "b", "joined", "part")), *(pa.array([d[i] for d in done], spans) for i in range(3))], names=["r", "a", "b", "joined", "part", "ids", "at", "words"])
+        for batch in slices(batches):
+            rows = batch.to_pylist()
+            alone = iter(tokenizer.encode_batch_fast([x["part"] for x in rows if not x["many"]], add_special_tokens=False))
+            out = []
+            for x in rows:
+                ids, at, words = encode_spans(encode, x["part"], x["a"]) if x["many"] else (next(alone).ids, None, None)
+                out.append((x["r"], x["a"], x["b"], x["joined"], x["part"] if x["many"] else None, ids, at, words))
+            yield _batch(out, _ENCODED)
 
     return run
 
 
-def _join_parts(path: str):
+def _join_parts(path: str, counts: bool):
+    """(r, ids), or (r, number of ids) with counts, of each text from its parts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
         encode = lambda t: tokenizer.encode(t, add_special_tokens=False)
         for batch in batches:
-            for row in batch.to_pylist():
-                parts = sorted(row["parts"], key=lambda p: p["a"])
-                text, ids, stretch = "".join(p["part"] for p in parts), [], []
-                for p in [*parts, None]:
-                    if stretch and (p is None or not p["joined"]):
-                        ids += merge_tree(encode, text, stretch)[0]
+            for r, parts in zip(batch.column(0), batch.column(1)):
+                parts = parts.values
+                parts = parts.take(pa.array(np.argsort(parts.field("a").to_numpy())))
+                alone, ids, done, stretch = parts.field("part").is_null().to_numpy(zero_copy_only=False), parts.field("ids"), [], []
+                for i in range(len(parts) + 1):
+                    if stretch and (i == len(parts) or alone[i] or not parts.field("joined")[i].as_py()):
+                        start = stretch[0]["a"]
+                        text = "".join(p["part"] for p in stretch)
+                        moved = [(p["a"] - start, p["b"] - start, (p["ids"], *([x - start for x in p[c]] for c in ("at", "words")))) for p in stretch]
+                        done.append(np.array(merge_tree(encode, text, moved)[0], np.int32))
                         stretch = []
-                    if p is not None:
-                        stretch.append((p["a"], p["b"], (p["ids"], p["at"], p["words"])))
-                yield pa.RecordBatch.from_arrays([pa.array([row["r"]], pa.string()), pa.array([ids], pa.list_(pa.int32()))], names=["r", "ids"])
+                    if i < len(parts):
+                        if alone[i]:
+                            done.append(ids[i].values.to_numpy())
+                        else:
+                            stretch.append(parts[i].as_py())
+                whole = np.concatenate(done)
+                last = pa.array([len(whole)], pa.int64()) if counts else pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), pa.array(whole))
+                yield pa.RecordBatch.from_arrays([pa.array([r.as_py()], pa.string()), last], names=["r", "ids"])
 
     return run
 
@@ -205,9 +234,9 @@ def encode_corpus(docs: DataFrame, path: str | None = None, key: str = "doc_id",
     # equal long texts are encoded once
     long = source.where(is_long).withColumn("r", F.md5("t"))
     once = long.groupBy("r").agg(F.first("t").alias("t"))
-    cut = once.mapInArrow(_cut_long(leaf), "r string, a int, b int, joined boolean, part string")
+    cut = once.mapInArrow(_cut_long(leaf), "r string, part string, a int, b int, joined boolean, many boolean")
     encoded = cut.repartition("r", "a").mapInArrow(_encode_parts(path), "r string, a int, b int, joined boolean, part string, ids array<int>, at array<int>, words array<int>")
     whole = encoded.groupBy("r").agg(F.collect_list(F.struct("a", "b", "joined", "part", "ids", "at", "words")).alias("parts"))  # one text's own parts
-    joined = whole.mapInArrow(_join_parts(path), "r string, ids array<int>")
-    keyed = joined.join(long.select("k", "r"), "r").select("k", (F.size("ids").cast("bigint") if counts else F.col("ids")).alias("ids"))
+    joined = whole.mapInArrow(_join_parts(path, counts), f"r string, ids {'bigint' if counts else 'array<int>'}")
+    keyed = joined.join(long.select("k", "r"), "r").select("k", "ids")
     return short.unionByName(keyed).select(F.col("k").alias(key), F.col("ids").alias(result))

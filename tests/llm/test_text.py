@@ -15,7 +15,7 @@ from shoalwork.llm.inherited import MOST_BITS, MOST_EDITS, _in_tables, fingerpri
 from shoalwork.llm.lookalikes import lookalike_pairs, visible_forms
 from shoalwork.llm.mailings import cluster_mails, described, markov_clusters, neighbours
 from shoalwork.llm.nearsets import all_pairs, groups, similar_pairs
-from shoalwork.llm.tokens import cut_points, encode_corpus, encode_spans, load, merge_tree, tokenizer_path
+from shoalwork.llm.tokens import _cut_long, _encode_parts, cut_points, encode_corpus, encode_spans, load, merge_tree, tokenizer_path
 
 WORDS = "alpha beta gamma delta engine ferry garden harbour invoice journal kettle ledger museum notice office parcel quota report signal ticket".split()
 
@@ -60,6 +60,16 @@ def test_corpus_ids(spark):
 # --- containers
 
 
+def test_parts_are_encoded_in_small_batches():
+    """Parts that stand alone carry only their ids, and a batch of any size is worked on and handed on in slices."""
+    texts = [f"{i} " + "alpha beta gamma " * 350 for i in range(1_200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(map(str, range(len(texts)))), pa.array(texts)], names=["r", "t"])
+    cut = pa.Table.from_batches(_cut_long(6_000)(iter([batch]))).combine_chunks().to_batches()
+    found = list(_encode_parts(tokenizer_path())(iter(cut)))
+    assert sum(x.num_rows for x in found) == sum(x.num_rows for x in cut) and max(x.nbytes for x in found) < 4 << 20
+    assert all(x.column(c).null_count == x.num_rows for x in found for c in ("part", "at", "words"))
+
+
 def test_plan_equals_plain_best_fit():
     rng = random.Random(2)
     for _ in range(120):
