@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,20 +77,140 @@ def within(points: DataFrame, key: str, vector: str, radius: float, pivots: int
     return packed.where("not guest").join(guests, "pivot").repartition("pivot", "slice", "o").mapInPandas(meet, "a bigint, b bigint")
 
 
-def dbscan(points: DataFrame, key: str, vector: str, eps: float, min_samples: int = 5) -> DataFrame:
-    """(key, cluster): density clusters named by their smallest core point, -1 for noise.
+def _near(x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
+    return (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T <= radius * radius + 1e-9
+
+
+def _links(x: np.ndarray, one: np.ndarray, y: np.ndarray, two: np.ndarray, radius: float) -> np.ndarray:
+    """The pairs (label, label) of points of x and y within the radius, each once.
+
+    The largest labels of both sides meet in growing parts, only until one pair is found; all others meet as a whole.
+    """
+    if not len(x) or not len(y):
+        return np.zeros((0, 2), np.int64)
+    large = []
+    for labels in (one, two):
+        names, n = np.unique(labels, return_counts=True)
+        large.append(names[n.argmax()])
+    found, big, other = [], one == large[0], two == large[1]
+    if large[0] != large[1]:
+        p, q = x[big], y[other]
+        at = [(i, j) for i in range(0, len(p), BLOCK) for j in range(0, len(q), BLOCK)]
+        if any(_near(p[i : i + BLOCK], q[j : j + BLOCK], radius).any() for i, j in sorted(at, key=sum)):
+            found.append(np.array([large]))
+    for p, lp, q, lq in ((x[~big], one[~big], y, two), (x[big], one[big], y[~other], two[~other])):
+        for i in range(0, len(p), BLOCK):
+            r, c = np.nonzero(_near(p[i : i + BLOCK], q, radius)) if len(q) else ([], [])
+            found.append(np.unique(np.stack([lp[i : i + BLOCK][r], lq[c]], axis=1), axis=0))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pairs[pairs[:, 0] != pairs[:, 1]]
+
+
+def _merged(labels: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The labels with linked ones united under the smallest."""
+    to: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while v in to:
+            if to[v] in to:
+                to[v] = to[to[v]]
+            v = to[v]
+        return v
+
+    for a, b in pairs.tolist():
+        a, b = root(a), root(b)
+        if a != b:
+            to[max(a, b)] = min(a, b)
+    names, at = np.unique(labels, return_inverse=True)
+    return np.array([root(v) for v in names.tolist()], np.int64)[at] if len(labels) else labels
+
+
+def _first_labels(ids: np.ndarray, x: np.ndarray, radius: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, label of each point in that order or -1): core points told from neighbours alone, those known to be linked united."""
+    centre = x[:: max(1, len(x) // 32)]
+    d = (x * x).sum(1)[:, None] + (centre * centre).sum(1)[None] - 2 * x @ centre.T
+    order = np.lexsort((d.min(1), d.argmin(1)))
+    ids, x, label = ids[order], x[order], np.full(len(x), -1, np.int64)
+    for at in range(0, len(x), BLOCK):
+        part = slice(at, at + BLOCK)
+        near = _near(x[part], x[part], radius)
+        core = near.sum(1) >= least
+        own, i, j = ids[part].copy(), *np.nonzero(near & core[:, None] & core[None])
+        label[part] = np.where(core, _merged(own, np.stack([own[i], own[j]], axis=1)), -1)
+    core = label >= 0
+    label[core] = _merged(label[core], _links(x[core], label[core], x[core], label[core], radius))
+    return order, label
+
+
+def dbscan(points: DataFrame, key: str, vector: str, eps: float, min_samples: int = 5, size: int = 1 << 14) -> DataFrame:
+    """(key, cluster): density clusters named by their smallest core point, -1 for noise. Keys are not negative.
 
     A core point has `min_samples` points within eps, itself included; a border point goes to the smallest cluster of the
-    core points in reach.
+    core points in reach. Points are packed into blocks of about `size`. A block first tells core points by their
+    neighbours in it and unites those that are linked. Then all pairs of blocks meet, once to count the neighbours of the
+    points that are left, and once for the links between united points and to border points. No pair of points leaves
+    a meeting, only counts, linked labels and the few core points in reach of a border point.
     """
-    near = cut(within(points, key, vector, eps))
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    core = cut(points.select(F.col(key).cast("bigint").alias("a")).join(both.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("a"))
-    joined = near.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")
-    found = components(joined.unionByName(core.select("a", F.col("a").alias("b"))))
-    border = both.join(core, "a", "left_anti").join(found.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("component"))
-    named = found.select(F.col("node").alias("a"), "component").unionByName(border)
-    return points.select(F.col(key).cast("bigint").alias("a")).join(named, "a", "left").select(F.col("a").alias(key), F.coalesce("component", F.lit(-1)).cast("bigint").alias("cluster"))
+    def unpacked(data: bytes, n: int) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(data)).reshape(n, -1)
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        ids, x = part["id"].to_numpy(), np.stack(part["v"].to_numpy()).astype(np.float64)
+        order, label = _first_labels(ids, x, eps, min_samples)
+        return pd.DataFrame({"block": [part["block"].iloc[0]], "ids": [ids[order]], "labels": [label], "data": [zlib.compress(x[order].tobytes(), 1)]})
+
+    count = max(1, -(-points.count() // size))
+    source = points.select(F.col(key).cast("bigint").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    packed = cut(source.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count))).groupBy("block").applyInPandas(pack, "block bigint, ids array<bigint>, labels array<bigint>, data binary"))
+
+    def met(left: DataFrame, meet, kind: str) -> DataFrame:
+        """What meet makes of each two blocks, and of each with itself."""
+        other = left.select(*(F.col(c).alias(f"other_{c}") for c in left.columns))
+        pairs = left.join(other, F.col("block") <= F.col("other_block")).repartition(max(count * (count + 1) // 2, 1), "block", "other_block")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for row in batch.to_dict("records"):
+                    one, two = ((np.asarray(row[f"{s}ids"]), np.asarray(row[f"{s}labels"]), unpacked(row[f"{s}data"], len(row[f"{s}ids"]))) for s in ("", "other_"))
+                    yield from meet(one, two, row["block"] == row["other_block"])
+
+        return pairs.mapInPandas(run, kind)
+
+    def counts(one: tuple, two: tuple, same: bool) -> Iterator[pd.DataFrame]:
+        for (ids, label, x), (_, _, y) in ((one, two), (two, one))[: 2 - same]:
+            open_ = label < 0
+            p, n = x[open_], [np.zeros(0, np.int64)]
+            n += [_near(p[i : i + BLOCK], y, eps).sum(1) for i in range(0, len(p), BLOCK)]
+            yield pd.DataFrame({"id": ids[open_], "n": np.concatenate(n)})
+
+    more = met(packed, counts, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples)
+    fresh = cut(more.select("id", F.pmod(F.xxhash64("id"), F.lit(count)).alias("block")))
+    named = packed.join(fresh.groupBy("block").agg(F.collect_list("id").alias("fresh")), "block", "left")  # a block's own points
+
+    def relabel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["labels"] = [np.where(np.isin(ids, new), ids, label) if new is not None else label for ids, label, new in zip(batch["ids"], batch["labels"], batch["fresh"])]
+            yield batch[["block", "ids", "labels", "data"]]
+
+    ready = cut(named.mapInPandas(relabel, "block bigint, ids array<bigint>, labels array<bigint>, data binary"))
+
+    def links(one: tuple, two: tuple, same: bool) -> Iterator[pd.DataFrame]:
+        (_, l1, x1), (_, l2, x2) = one, two
+        c1, c2 = l1 >= 0, l2 >= 0
+        pairs = _links(x1[c1], l1[c1], x2[c2], l2[c2], eps)
+        yield pd.DataFrame({"border": False, "a": pairs[:, 0], "b": pairs[:, 1]})
+        for (ids, label, x), (_, names, y) in ((one, two), (two, one))[: 2 - same]:
+            x, ids, y, names = x[label < 0], ids[label < 0], y[names >= 0], names[names >= 0]
+            for i in range(0, len(x), BLOCK):
+                r, c = np.nonzero(_near(x[i : i + BLOCK], y, eps)) if len(y) else (np.zeros(0, int),) * 2
+                yield pd.DataFrame({"border": True, "a": ids[i : i + BLOCK][r], "b": names[c]})
+
+    found = cut(met(ready, links, "border boolean, a bigint, b bigint").distinct())
+    core = cut(ready.select(F.explode(F.arrays_zip("ids", "labels")).alias("x")).select(F.col("x.ids").alias("a"), F.col("x.labels").alias("label")).where("label >= 0"))
+    joined = components(found.where("not border").select("a", "b").unionByName(core.select(F.col("label").alias("a"), F.col("label").alias("b")).distinct())).withColumnRenamed("node", "label")
+    border = found.where("border").select("a", F.col("b").alias("label")).join(joined, "label").groupBy("a").agg(F.min("component").alias("component"))
+    assigned = core.join(joined, "label").select("a", "component").unionByName(border)
+    return source.select(F.col("id").alias("a")).join(assigned, "a", "left").select(F.col("a").alias(key), F.coalesce("component", F.lit(-1)).cast("bigint").alias("cluster"))
 
 
 def kmeans(points: DataFrame, key: str, vector: str, k: int = 300, seed: int = 42) -> tuple[DataFrame, DataFrame]:

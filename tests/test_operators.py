@@ -139,6 +139,31 @@ def test_distance_join_and_density(spark):
     assert all(labels[a] == labels[b] for a, b in want if core[a] and core[b])
 
 
+def test_density_clusters_over_blocks(spark, monkeypatch):
+    """Blocks of any size give the clusters of all pairs, and no task hands on the pairs within reach."""
+    rng = np.random.default_rng(4)
+    at = np.concatenate([rng.normal(c, 0.4, (120, 3)) for c in ((0, 0, 0), (1.6, 0, 0), (9, 9, 9))] + [rng.uniform(-4, 12, (160, 3))])
+    near = ((at[:, None] - at[None]) ** 2).sum(2) <= 0.6**2 + 1e-9
+    core, label = near.sum(1) >= 5, np.arange(len(at))
+    while True:
+        new = np.where(core, np.where(near & core[None], label[None], len(at)).min(1), label)
+        if (new == label).all():
+            break
+        label = new
+    reach = np.where(near & core[None], label[None], len(at)).min(1)
+    expected = np.where(core, label, np.where(reach < len(at), reach, -1)).tolist()
+    assert (reach[~core] < len(at)).any() and -1 in expected
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(at)], "id long, v array<double>")
+    cuts, real = [], K.cut
+    monkeypatch.setattr(K, "cut", lambda x: cuts.append(y := real(x)) or y)
+    monkeypatch.setattr(K, "BLOCK", 16)
+    for size in (50, 1 << 14):
+        cuts.clear()
+        assert [r.cluster for r in K.dbscan(df, "id", "v", 0.6, 5, size=size).orderBy("id").collect()] == expected
+    assert max(c.count() for c in cuts if "data" not in c.columns) <= 3 * len(at) < near.sum() // 2
+    assert K.dbscan(df.limit(0), "id", "v", 0.6).collect() == []
+
+
 def test_cluster_scores(spark):
     x, points = cloud(spark)
     y = np.arange(300) * 3 // 300
