@@ -302,6 +302,17 @@ def test_signatures_of_a_sender(spark):
     assert {(1, n, "marks") for n in (3, 4, 5, 6)} <= found and {n for k, n, _ in found if k == 2} == {3, 4, 5} and not {k for k, _, _ in found} & {3, 4}
 
 
+def test_mails_of_a_signature_are_counted_exactly(spark):
+    """Two mails whose keys an estimate of distinct values takes for one make a signature known."""
+    both = spark.range(1, 4_000).select("id", F.explode(F.array(F.lit(0), "id")).alias("k"))
+    other = both.groupBy("id").agg(F.approx_count_distinct("k").alias("n")).where("n = 1").agg(F.min("id")).first()[0]
+    signed = "We met {} and the engine was put into the harbour again.\n\n-- \nIvo Tanner\nSales Desk\n+1 555 0100"
+    bare = "We met Zoe and the engine was put into the harbour again.\n\nIvo Tanner\nSales Desk\n+1 555 0101"
+    rows = [(0, signed.format("Ann"), "ivo@x.test"), (other, signed.format("Bob"), "ivo@x.test"), (9_000, bare.replace("+1 ", "room "), "ivo@x.test")]
+    found = {(r.email_index, r.line_no) for r in inherited_lines(spark.createDataFrame(rows, "email_index long, body string, sender string")).collect()}
+    assert other and {n for k, n in found if k == 9_000} == {3, 4, 5}
+
+
 def test_marks_in_linear_time():
     import time
 
