@@ -27,7 +27,6 @@ from shoalwork.operators.joins import small_side_join
 from shoalwork.plans.cut import cut
 
 LEAST_SHARE = 0.15  # of the mails with the more common of two features, in which the other one is too
-HUBS = 64  # features of a mail that all its features are paired with: those of least hash
 PAIRS = 2_000_000  # that are summed at once within a task
 NAME_SHARE = 10_000  # a first name is one that more than 1 / NAME_SHARE of the mails are signed with; there are fewer than NAME_SHARE of them
 INFLATION, PRUNE, STILL = 1.4, 0.002, 1e-4
@@ -90,11 +89,7 @@ def _features(model: tuple, names: frozenset[str]):
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, n, da, db): how often two features stand together in the mails of a batch.
-
-    Each feature of a mail is paired with the HUBS of least hash in it, so that the pairs of a mail grow with its length
-    and mails that share features share these; with up to HUBS features all are paired.
-    """
+    """(a, b, n, da, db): how often two features stand together in the mails of a batch; all pairs of a mail's features."""
     for batch in batches:
         items = batch.column(0)
         row = pc.list_parent_indices(items).to_numpy(zero_copy_only=False)
@@ -102,14 +97,12 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, d = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         order = np.lexsort((f, row))
         row, f, d = row[order], f[order], d[order]
-        hub = np.arange(len(row)) - np.searchsorted(row, row) < HUBS
-        parts, held = [], 0
-        for gap in range(1, len(row)):
-            at = np.flatnonzero((row[gap:] == row[:-gap]) & hub[:-gap])
-            if not len(at):
-                break
+        last = np.searchsorted(row, row, side="right") - 1  # the last feature of the same mail
+        parts, held, at, gap = [], 0, np.arange(len(row)), 1
+        while len(at := at[at + gap <= last[at]]):
             parts.append(np.stack([f[at], f[at + gap], d[at], d[at + gap]]))
             held += len(at)
+            gap += 1
             if held > PAIRS:
                 yield _summed(parts)
                 parts, held = [], 0

@@ -13,7 +13,7 @@ from shoalwork.llm.containers import fill_containers, plan_best_fit
 from shoalwork.llm.hashing import slices
 from shoalwork.llm.inherited import MOST_BITS, MOST_EDITS, _in_tables, fingerprints, inherited_lines, judged_lines, near_known, read_marks, sentences, slots, used_slots
 from shoalwork.llm.lookalikes import lookalike_pairs, visible_forms
-from shoalwork.llm.mailings import cluster_mails, described, markov_clusters, neighbours
+from shoalwork.llm.mailings import _pairs, cluster_mails, described, markov_clusters, neighbours
 from shoalwork.llm.nearsets import all_pairs, groups, similar_pairs
 from shoalwork.llm.tokens import _cut_long, _encode_parts, cut_points, encode_corpus, encode_spans, load, merge_tree, tokenizer_path
 
@@ -390,6 +390,15 @@ def test_markov_clusters(spark):
     assert markov_clusters(df.limit(0)).collect() == []
 
 
+def test_all_features_of_a_long_mail_are_paired():
+    items = [[{"f": i, "df": 2} for i in range(300)], [{"f": 7, "df": 2}, {"f": 290, "df": 2}], []]
+    batch = pa.RecordBatch.from_arrays([pa.array(items, pa.list_(pa.struct([("f", pa.int64()), ("df", pa.int64())])))], names=["items"])
+    found = Counter()
+    for part in _pairs(iter([batch])):
+        found.update({(a, b): n for a, b, n in zip(*(part.column(i).to_pylist() for i in range(3)))})
+    assert found == Counter({(a, b): 1 + ((a, b) == (7, 290)) for a in range(300) for b in range(a + 1, 300)})
+
+
 def test_mailings(spark):
     rng = random.Random(8)
     sentence = lambda: " ".join(rng.sample("engine ferry garden harbour invoice journal kettle ledger museum notice office parcel quota report signal ticket urgent quiet narrow sealed priority portable meeting voucher deposit".split(), 9)).capitalize() + "."
